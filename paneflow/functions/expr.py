@@ -94,7 +94,7 @@ def toll(vehicles, avg_speed, threshold: int = 50, speed_limit: float = 40.0,
     """
     n = col_of(vehicles).cast("long")
     d = n - F.lit(threshold)
-    val = F.bitwiseXOR(F.lit(2) * d, F.lit(2)) if compat == "reference" else F.lit(2) * d * d
+    val = (F.lit(2) * d).bitwiseXOR(F.lit(2)) if compat == "reference" else F.lit(2) * d * d
     return F.when((n > threshold) & (col_of(avg_speed) < speed_limit), val).otherwise(F.lit(0)) \
             .cast("long")
 

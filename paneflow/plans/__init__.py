@@ -2,8 +2,4 @@
 
 from paneflow.plans import registry  # noqa: F401
 from paneflow.plans import ysb  # noqa: F401
-
-try:  # modules added as the build widens; each registers its own queries
-    from paneflow.plans import catalog  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
+from paneflow.plans import lrb  # noqa: F401
