@@ -3,3 +3,4 @@
 from paneflow.plans import registry  # noqa: F401
 from paneflow.plans import ysb  # noqa: F401
 from paneflow.plans import lrb  # noqa: F401
+from paneflow.plans import text  # noqa: F401
