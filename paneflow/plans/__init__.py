@@ -4,3 +4,6 @@ from paneflow.plans import registry  # noqa: F401
 from paneflow.plans import ysb  # noqa: F401
 from paneflow.plans import lrb  # noqa: F401
 from paneflow.plans import text  # noqa: F401
+from paneflow.plans import nyt  # noqa: F401
+from paneflow.plans import streams  # noqa: F401
+from paneflow.plans import workloads  # noqa: F401
