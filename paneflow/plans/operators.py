@@ -321,7 +321,7 @@ alias("str_10_multi_query_dag", "agg_25_chained_aggregate")
 
 @register("win_3_row_windows", f"""
 WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
-w AS (SELECT event_id, i, unnest(range(CASE WHEN (i - 50) // 20 + 1 < 0 THEN 0 ELSE (i - 50) // 20 + 1 END,
+w AS (SELECT event_id, i, unnest(range(greatest(0, CAST(floor((i - 50) / 20.0) AS BIGINT) + 1),
                                         i // 20 + 1)) AS win_id FROM r)
 SELECT win_id, count(*) AS cnt, CAST(sum(event_id) AS BIGINT) AS sum_id, min(i) AS first_idx FROM w GROUP BY 1""")
 def win_3(spark, d):

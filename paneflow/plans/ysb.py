@@ -102,7 +102,7 @@ GROUP BY 1, 2, 3""", "ad_events", "campaigns")
 
 SQL_YSB1 = with_views(f"""
 SELECT {_WIN} AS window_start, {_WIN} + {H} AS window_end,
-       CAST(floor(ad_id / 10) AS BIGINT) AS campaign_id, sum(ip) AS ip_sum
+       CAST(floor(ad_id / 10) AS BIGINT) AS campaign_id, CAST(sum(ip) AS BIGINT) AS ip_sum
 FROM ad_events WHERE starts_with(event_type, 'view')
 GROUP BY 1, 2, 3""", "ad_events")
 
