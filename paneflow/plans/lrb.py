@@ -91,8 +91,12 @@ def stops(events: DataFrame) -> DataFrame:
 
 
 def accident_pairs(events: DataFrame) -> DataFrame:
-    """STR-7: accidents — two stopped vehicles overlapping at one (xway, pos)."""
-    return S.accidents(reports(events))
+    """STR-7: accidents — two stopped vehicles overlapping at one (xway, pos).
+
+    ``end_time`` is -1 while both vehicles are still stopped at the end of the input.
+    """
+    a = S.accidents(reports(events))
+    return a.withColumn("end_time", F.coalesce(F.col("end_time"), F.lit(-1)))
 
 
 def toll_pass(events: DataFrame, period_s: int = TOLL_PASS_S) -> DataFrame:
@@ -183,7 +187,9 @@ acc AS (SELECT a.xway, a.pos, a.seg, a.vid AS vid1, b.vid AS vid2,
          AND a.start_time < coalesce(b.end_time, 4611686018427387904)
          AND b.start_time < coalesce(a.end_time, 4611686018427387904))"""
 
-SQL_ACCIDENTS = with_views(f"WITH {_ACC}\nSELECT * FROM acc", "position_reports")
+SQL_ACCIDENTS = with_views(f"""WITH {_ACC}
+SELECT xway, pos, seg, vid1, vid2, start_time, coalesce(end_time, -1) AS end_time FROM acc""",
+                           "position_reports")
 
 SQL_TOLL_PASS = with_views(f"""
 WITH {_ACC},

@@ -500,7 +500,7 @@ def udf_2(spark, d):
     def split_words(pdf):
         rows = [(i, w.upper()) for i, t in zip(pdf["doc_id"], pdf["text"]) for w in _WORD_RE.findall(t or "")]
         return pd.DataFrame(rows, columns=["doc_id", "word"])
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
     words = PR.par_do(docs, split_words, "doc_id long, word string")
     return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 

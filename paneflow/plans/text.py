@@ -42,13 +42,13 @@ def keyword_table(spark) -> DataFrame:
 
 def documents(spark, d: str) -> DataFrame:
     """Documents with event time: ``BUNDLE`` documents per second in ``doc_id`` order."""
-    return assign_event_time(load(spark, d, "documents").select("doc_id", "text"),
+    return assign_event_time(load(spark, d, "documents", spread=True).select("doc_id", "text"),
                              row="doc_id", bundle=BUNDLE, delta="1 second")
 
 
 def page_records(spark, d: str) -> DataFrame:
     """Pages as text records (url and html), ``BUNDLE`` pages per second."""
-    p = load(spark, d, "pages").select("page_id", F.concat_ws("\n", "url", "html").alias("text"))
+    p = load(spark, d, "pages", spread=True).select("page_id", F.concat_ws("\n", "url", "html").alias("text"))
     return assign_event_time(p, row="page_id", bundle=BUNDLE, delta="1 second")
 
 
@@ -205,13 +205,13 @@ def agg_18(spark, d):
 
 @register("fn_8_keyword_score", SQL_DOC_SCORE)
 def fn_8(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
     return T.keyword_score(docs, keyword_table(spark), ["doc_id"])
 
 
 @register("fn_4_word_tokenizer", SQL_TOKENS)
 def fn_4(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
     ws = words("text")
     return docs.select("doc_id", F.size(ws).cast("long").alias("n_words"),
                        F.size(F.array_distinct(ws)).cast("long").alias("n_distinct"))
@@ -223,14 +223,14 @@ def words(c):
 
 @register("fn_5_line_splitter", SQL_LINES)
 def fn_5(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
     return docs.select("doc_id", F.size(T.lines("text")).cast("long").alias("lines"),
                        F.size(T.lines("text", chunked=True)).cast("long").alias("chunk_lines"))
 
 
 @register("fn_7_substring_find_all", SQL_SUBSTR)
 def fn_7(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
     return docs.select("doc_id", T.count_substring("text", "the").cast("long").alias("occurrences"))
 
 

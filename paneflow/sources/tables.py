@@ -35,9 +35,24 @@ def _fix_ntz(df: DataFrame) -> DataFrame:
     return df.select(*cols) if changed else df
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Batch read of one test table with NTZ columns cast to ``timestamp``."""
-    return _fix_ntz(spark.read.parquet(table_path(sf_dir, name)))
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Batch read of one test table with NTZ columns cast to ``timestamp``.
+
+    ``spread=True`` is for tables with heavy per-row work (whole texts): when the scan
+    yields fewer partitions than the cluster's default parallelism (a small file or a
+    single Parquet row group), rows are redistributed round-robin so tokenising uses
+    every core.  At scale the scan already has thousands of splits and nothing moves.
+    """
+    df = _fix_ntz(spark.read.parquet(table_path(sf_dir, name)))
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism if the frame has fewer partitions."""
+    if df.isStreaming:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def load_stream(spark: SparkSession, sf_dir: str, name: str,
