@@ -94,7 +94,13 @@ def stream_campaign_counts(spark, d: str) -> DataFrame:
     timestamps; windows close when the watermark passes their end."""
     from paneflow.plans.ysb import ysb_campaign_counts
     ev = load_stream(spark, d, "events").withWatermark("ts", "0 seconds")
-    return runner.run_to_table(ysb_campaign_counts(ev), "ysb_stream")
+    return runner.run_to_table(ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d)),
+                               "ysb_stream")
+
+
+def _static_campaigns(spark, d: str) -> DataFrame:
+    """The static ad → campaign dimension (batch) joined to streams."""
+    return X.campaigns(load(spark, d, "events"))
 
 
 def _sql_join():
@@ -183,3 +189,67 @@ def prj_4(spark, d):
 alias("jn_7_interval_equi_join", "q_join")
 alias("jn_4_batch_theta_join", "jn_1_theta_join_range_windows")
 alias("agg_19_rtt_per_ip_pair", "q_net")
+
+
+# ---------------------------------------------------------------- streaming registrations
+
+def _closed(sql: str, delay_us: int = 0) -> str:
+    """Oracle for append-mode windows: only windows closed by the final watermark
+    (max event time − delay) are emitted."""
+    return (f"SELECT * FROM ({sql}) q WHERE window_end <= "
+            f"(SELECT (epoch_ms(max(ts)) * 1000) - {delay_us} FROM events)")
+
+
+def _ysb_sql():
+    from paneflow.plans.ysb import SQL_YSB2, SQL_YSB3
+    return SQL_YSB3, SQL_YSB2
+
+
+@register("str_1_ascending_watermark_stream", _closed(_ysb_sql()[0]))
+def str_1(spark, d):
+    return stream_campaign_counts(spark, d)
+
+
+@register("str_4_out_of_order_watermark_delay", _closed(_ysb_sql()[0], 2 * H))
+def str_4(spark, d):
+    from paneflow.plans.ysb import ysb_campaign_counts
+    ev = load_stream(spark, d, "events").withWatermark("ts", "2 hours")
+    return runner.run_to_table(ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d)),
+                               "ysb_delay")
+
+
+@register("str_9_exactly_once_foreach_batch", _closed(_ysb_sql()[0]))
+def str_9(spark, d):
+    import os
+    from paneflow.plans.ysb import ysb_campaign_counts
+    ev = load_stream(spark, d, "events").withWatermark("ts", "0 seconds")
+    out = os.path.join(runner.scratch_path(spark, "ysb_fb"), "out")
+    agg = ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d))
+    runner.run_foreach_batch(agg, "ysb_fb", runner.idempotent_parquet_batches(out))
+    return spark.read.schema(agg.schema).parquet(out).drop("epoch")
+
+
+@register("str_12_output_modes_complete", _ysb_sql()[1])
+def str_12(spark, d):
+    from paneflow.plans.ysb import ysb_campaign_count
+    agg = ysb_campaign_count(load_stream(spark, d, "events"), campaigns=_static_campaigns(spark, d))
+    return runner.run_complete(agg, "ysb_complete")
+
+
+def _sql_stops():
+    from paneflow.plans.lrb import SQL_STOPS
+    return SQL_STOPS
+
+
+@register("str_6_stop_detector_stream", _sql_stops())
+def str_6_stream(spark, d):
+    from paneflow.plans.lrb import reports
+    from paneflow.streaming.processors import stop_detector_stream
+    rep = reports(load_stream(spark, d, "events"))
+    return runner.run_to_table(stop_detector_stream(rep), "stops")
+
+
+alias("str_2_punctuation_watermark", "str_1_ascending_watermark_stream")
+alias("str_3_two_input_min_watermark", "jn_8_join_state_expiry_stream")
+alias("udf_5_keyed_state_process_function", "str_6_stop_detector_stream")
+alias("snk_4_foreach_batch", "str_9_exactly_once_foreach_batch")

@@ -33,10 +33,16 @@ def ysb_views(events: DataFrame) -> DataFrame:
     return X.ad_events(events).filter(P.prefix_equals("event_type", "view")).select("ts", "ad_id")
 
 
-def ysb_campaign_counts(events: DataFrame, window=params.YSB_WINDOW) -> DataFrame:
-    """Q-YSB3: campaign ``count(*)`` and last event time per tumbling window."""
+def ysb_campaign_counts(events: DataFrame, window=params.YSB_WINDOW,
+                        campaigns: DataFrame | None = None) -> DataFrame:
+    """Q-YSB3: campaign ``count(*)`` and last event time per tumbling window.
+
+    ``campaigns`` is the static dimension (a batch frame); by default it is derived
+    from ``events``, which must then be a batch frame too.
+    """
     views = ysb_views(events)
-    joined = J.stream_static_join(views, X.campaigns(events), "ad_id", dim_bounded=True)
+    dim = campaigns if campaigns is not None else X.campaigns(events)
+    joined = J.stream_static_join(views, dim, "ad_id", dim_bounded=True)
     w = W.tumbling(joined, window)
     return A.window_aggregate(w, "window", ["campaign_id"], [
         F.count(F.lit(1)).alias("events"),
@@ -52,9 +58,11 @@ def ysb_keyed_sum(events: DataFrame, window=params.YSB_WINDOW) -> DataFrame:
     return A.window_aggregate(w, "window", ["campaign_id"], [F.sum("ip").alias("ip_sum")])
 
 
-def ysb_campaign_count(events: DataFrame, window=params.YSB_WINDOW) -> DataFrame:
-    """Q-YSB2 / AGG-10: campaign count per window."""
-    joined = J.stream_static_join(ysb_views(events), X.campaigns(events), "ad_id", dim_bounded=True)
+def ysb_campaign_count(events: DataFrame, window=params.YSB_WINDOW,
+                       campaigns: DataFrame | None = None) -> DataFrame:
+    """Q-YSB2 / AGG-10: campaign count per window (``campaigns``: static dimension)."""
+    dim = campaigns if campaigns is not None else X.campaigns(events)
+    joined = J.stream_static_join(ysb_views(events), dim, "ad_id", dim_bounded=True)
     w = W.tumbling(joined, window)
     return A.window_aggregate(w, "window", ["campaign_id"], [F.count(F.lit(1)).alias("events")])
 

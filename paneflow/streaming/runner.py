@@ -94,3 +94,18 @@ def late_rows(batch: DataFrame, ts: str, previous_watermark_us: int) -> DataFram
     """STR-5 ``late_policy="side"``: rows of a micro-batch older than the previous
     watermark (what append-mode aggregation drops), for a side output."""
     return batch.filter(F.unix_micros(F.col(ts)) < F.lit(previous_watermark_us))
+
+
+def run_complete(stream: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
+    """STR-12: run an aggregate in ``complete`` (or ``update``) mode; every epoch's
+    output replaces the previous snapshot folder (idempotent), and the final snapshot
+    is returned.  ``complete`` includes windows that are still open."""
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    out = os.path.join(base, "snapshot")
+
+    def write(df: DataFrame, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(out)
+
+    run_foreach_batch(stream, name, write, output_mode=output_mode)
+    return spark.read.schema(stream.schema).parquet(out)
