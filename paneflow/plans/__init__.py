@@ -8,3 +8,4 @@ from paneflow.plans import nyt  # noqa: F401
 from paneflow.plans import streams  # noqa: F401
 from paneflow.plans import workloads  # noqa: F401
 from paneflow.plans import operators  # noqa: F401
+from paneflow.plans import sources  # noqa: F401

@@ -197,7 +197,7 @@ def _closed(sql: str, delay_us: int = 0) -> str:
     """Oracle for append-mode windows: only windows closed by the final watermark
     (max event time − delay) are emitted."""
     return (f"SELECT * FROM ({sql}) q WHERE window_end <= "
-            f"(SELECT (epoch_ms(max(ts)) * 1000) - {delay_us} FROM events)")
+            f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {delay_us} FROM events)")
 
 
 def _ysb_sql():
