@@ -194,10 +194,13 @@ alias("agg_19_rtt_per_ip_pair", "q_net")
 # ---------------------------------------------------------------- streaming registrations
 
 def _closed(sql: str, delay_us: int = 0) -> str:
-    """Oracle for append-mode windows: only windows closed by the final watermark
-    (max event time − delay) are emitted."""
+    """Oracle for append-mode windows: only windows closed by the final watermark are
+    emitted.  The watermark is max event time − delay over the rows that reach the
+    watermark operator; Catalyst pushes the ``view`` filter below it, so that is the
+    latest *view* event (in ms)."""
     return (f"SELECT * FROM ({sql}) q WHERE window_end <= "
-            f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {delay_us} FROM events)")
+            f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {delay_us} FROM events "
+            f"WHERE starts_with(event_type, 'view'))")
 
 
 def _ysb_sql():
