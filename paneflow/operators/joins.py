@@ -146,12 +146,14 @@ def theta_join_rows(left: DataFrame, right: DataFrame, size_left: int, size_righ
     order = list(order)
     lt = left.select(ts, *order, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     rt = right.select(ts, *order, F.lit(0).alias("_side"), F.struct(*right.columns).alias("_row"))
-    merged = W.row_index(lt.unionByName(rt), [ts, "_side", *order], out="_m")
-    own = W.row_index(merged, ["_m"], ["_side"], out="_j")
-    # number of tuples of the other side that arrived before this one
-    own = own.withColumn("_other", F.col("_m") - F.col("_j"))
-    L = own.filter(F.col("_side") == 1)
-    R = own.filter(F.col("_side") == 0)
+    # one indexing pass: merged arrival index and the number of left tuples before
+    merged = W.row_index(lt.unionByName(rt), [ts, "_side", *order], out="_m",
+                         counts_before={"_lb": F.col("_side") == 1})
+    # _j: index among its own side; _other: tuples of the other side that came before
+    L = merged.filter(F.col("_side") == 1) \
+        .withColumn("_j", F.col("_lb")).withColumn("_other", F.col("_m") - F.col("_lb"))
+    R = merged.filter(F.col("_side") == 0) \
+        .withColumn("_j", F.col("_m") - F.col("_lb")).withColumn("_other", F.col("_lb"))
 
     def probe(a: DataFrame, b: DataFrame, size: int, slide: int) -> DataFrame:
         """Rows of ``a`` matched to the window over ``b`` (indices ``_j`` of b)."""

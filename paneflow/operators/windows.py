@@ -148,7 +148,8 @@ def _bucket_of(x: Column, bounds: list) -> Column:
 
 
 def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
-              out: str = "row_idx", buckets: int | None = None) -> DataFrame:
+              out: str = "row_idx", buckets: int | None = None,
+              counts_before: dict[str, Column] | None = None) -> DataFrame:
     """Dense 0-based row index in ``order`` (per ``keys`` group if given), batch only.
 
     Never a single-partition window, and a hot key is split: rows are cut into
@@ -158,8 +159,13 @@ def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     (a table of at most keys × buckets rows) shifts each bucket to its global
     offset.  Everything is deterministic, so the frame may be evaluated by several
     branches of one plan.
+
+    ``counts_before`` maps output names to 0/1 expressions; each output is the number of
+    rows *before* this one (same key group, same order) for which the expression is 1,
+    computed in the same pass (e.g. per-side arrival counts of a merged stream).
     """
     keys, order = list(keys), list(order)
+    counts_before = counts_before or {}
     spark = df.sparkSession
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lead = order[0]
@@ -173,16 +179,31 @@ def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
         bounds = sorted(set(int(q) for q in bounds))
     b = _bucket_of(F.col("_lead"), bounds) if bounds else F.lit(0)
     tagged = base.withColumn("_bkt", b)
-    counts = tagged.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    flags = {n: f"_f_{i}" for i, n in enumerate(counts_before)}
+    for n, c in counts_before.items():
+        tagged = tagged.withColumn(flags[n], c.cast("long"))
+    counts = tagged.groupBy(*keys, "_bkt").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f).alias(f"{f}_s") for f in flags.values()])
     wo = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
-    offsets = counts.withColumn("_off", F.sum("_n").over(wo) - F.col("_n")).drop("_n")
+    offsets = counts.withColumn("_off", F.sum("_n").over(wo) - F.col("_n"))
+    for f in flags.values():
+        offsets = offsets.withColumn(f"{f}_o", F.sum(f"{f}_s").over(wo) - F.col(f"{f}_s"))
+    offsets = offsets.drop("_n", *[f"{f}_s" for f in flags.values()])
     if not keys:
         offsets = F.broadcast(offsets)  # one row per bucket: bounded by ``buckets``
     wl = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    run = wl.rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_loc", F.row_number().over(wl) - 1)
+    for f in flags.values():
+        local = local.withColumn(f"{f}_l", F.sum(f).over(run) - F.col(f))
     joined = local.join(offsets, [*keys, "_bkt"])
-    return joined.withColumn(out, F.col("_off") + F.col("_loc")) \
-                 .drop("_lead", "_bkt", "_loc", "_off")
+    res = joined.withColumn(out, F.col("_off") + F.col("_loc"))
+    for n, f in flags.items():
+        res = res.withColumn(n, F.col(f"{f}_o") + F.col(f"{f}_l"))
+    drop = ["_lead", "_bkt", "_loc", "_off"]
+    for f in flags.values():
+        drop += [f, f"{f}_o", f"{f}_l"]
+    return res.drop(*drop)
 
 
 def row_windows(df: DataFrame, size: int, slide: int, order: Sequence[str],
