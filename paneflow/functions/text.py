@@ -76,16 +76,29 @@ def tokens(text) -> Column:
     return F.split(col_of(text), TOKEN_SEPARATORS)
 
 
+def keyword_score_column(text, pairs: list[tuple[str, int]]) -> Column:
+    """FN-8 as one per-row expression for a bounded literal dictionary: the sum of the
+    scores of the text's space/tab tokens (map lookup per token, 0 when absent).
+
+    No explode, join or shuffle: the dictionary is a literal map inside the expression.
+    """
+    m = F.create_map(*[x for w, sc in pairs for x in (F.lit(w), F.lit(int(sc)).cast("long"))])
+    vals = F.transform(tokens(text), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0).cast("long")))
+    return F.aggregate(vals, F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+
 def keyword_score(df: DataFrame, dictionary: DataFrame, id_cols: list[str],
                   text: str = "text", out: str = "score") -> DataFrame:
-    """FN-8: per record, the sum of dictionary scores of its space/tab tokens.
+    """FN-8 for a dictionary given as a table (``word, score``): per record, the sum of
+    dictionary scores of its space/tab tokens.
 
-    Tokens are exploded in place and joined to the dictionary (``word, score``);
-    a dictionary is a bounded literal list, so it is broadcast.  Records without any
+    Tokens are exploded in place and joined to the dictionary, which is broadcast only
+    behind a size check; use :func:`keyword_score_column` for literal dictionaries.  Records without any
     dictionary token get score 0 (left join back to the record ids).
     """
     toks = df.select(*id_cols, F.explode(tokens(text)).alias("word"))
-    hit = toks.join(F.broadcast(dictionary), "word").groupBy(*id_cols) \
+    from paneflow.operators.joins import checked_broadcast
+    hit = toks.join(checked_broadcast(dictionary), "word").groupBy(*id_cols) \
               .agg(F.sum("score").alias(out))
     return df.select(*id_cols).join(hit, id_cols, "left") \
              .withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))

@@ -85,7 +85,7 @@ def distinct_lines(docs: DataFrame, window=WIN) -> DataFrame:
 
 def score_branch(spark, docs: DataFrame, window=WIN) -> DataFrame:
     """AGG-16 + FN-8: keyword score summed per window, emitted as (window_end, score)."""
-    sc = T.keyword_score(docs, keyword_table(spark), ["doc_id", "ts"])
+    sc = docs.select("ts", T.keyword_score_column("text", KEYWORDS).alias("score"))
     w = W.tumbling(sc, window)
     return w.groupBy("window").agg(F.sum("score").alias("score")) \
             .select(W.micros("window.end").alias("window_end"), "score")
