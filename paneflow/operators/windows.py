@@ -238,3 +238,36 @@ def count_windows(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[st
     """WIN-4: tumbling count windows over the whole stream: window = row_index div n."""
     idx = row_index(df, order, keys)
     return idx.withColumn(out, F.floor(F.col("row_idx") / F.lit(n)).cast("long"))
+
+
+def session_aggregate(df: DataFrame, gap, keys: Sequence[str], aggs: dict, ts: str = "ts") -> DataFrame:
+    """WIN-5 aggregate with map-side pre-merging (batch).
+
+    Rows of one key less than ``gap`` apart always belong to the same session, so rows
+    are first reduced per ``(keys, floor(ts / gap))`` bucket — a partial aggregate
+    before any shuffle — to ``(first, last, partials)``.  Each bucket summary covers
+    ``[first, last + gap)``; ``session_window`` with a per-row gap then merges the
+    summaries exactly as it would merge the raw rows (touching windows stay apart).
+    A key holding a third of all rows is shuffled as at most span/gap summaries.
+
+    ``aggs``: output name → (kind, column) with kind in cnt, sum, min, max.
+    Output: keys, ``session_start``, ``session_end`` (epoch µs), aggregates.
+    """
+    g = to_us(gap)
+    keys = list(keys)
+    t = micros(ts)
+    part = [F.min(t).alias("_first"), F.max(t).alias("_last")]
+    for name, (kind, c) in aggs.items():
+        fn = {"cnt": lambda _c: F.count(F.lit(1)), "sum": F.sum, "min": F.min, "max": F.max}[kind]
+        part.append(fn(c).alias(f"_p_{name}"))
+    summ = df.groupBy(*keys, F.floor(t / F.lit(g)).alias("_gb")).agg(*part)
+    span = F.col("_last") - F.col("_first") + F.lit(g - 1)
+    gap_col = F.concat(span.cast("string"), F.lit(" microseconds"))
+    sw = F.session_window(F.timestamp_micros(F.col("_first")), gap_col)
+    fin = []
+    for name, (kind, _c) in aggs.items():
+        fn = {"cnt": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[kind]
+        fin.append(fn(f"_p_{name}").alias(name))
+    s = summ.groupBy(*keys, sw.alias("_s")).agg(F.max("_last").alias("_end_last"), *fin)
+    return s.select(*keys, micros("_s.start").alias("session_start"),
+                    (F.col("_end_last") + F.lit(g)).alias("session_end"), *aggs.keys())

@@ -342,10 +342,7 @@ s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PR
 SELECT user_id, min(t) AS session_start, max(t) + {_GAP_US} AS session_end, count(*) AS n
 FROM s GROUP BY user_id, sid""")
 def win_5(spark, d):
-    s = W.session(_ev(spark, d), SESSION_GAP)
-    g = s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("user_id", W.micros("session.start").alias("session_start"),
-                    W.micros(W.session_end("session")).alias("session_end"), "n")
+    return W.session_aggregate(_ev(spark, d), SESSION_GAP, ["user_id"], {"n": ("cnt", None)})
 
 
 @register("win_7_processing_time_window")

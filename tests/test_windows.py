@@ -85,3 +85,16 @@ def test_row_windows_sliding(spark):
     assert res[0] == [0, 1, 2, 3, 4] and res[1] == [2, 3, 4, 5, 6] and res[11] == [22]
     full = W.row_windows(df, 5, 2, ["t"], complete_only=True).select("win_id").distinct().count()
     assert full == 10  # windows 0..9 end at rows 4..22
+
+
+def test_session_aggregate_premerge_equals_row_sessions(spark):
+    import random
+    random.seed(5)
+    rows = [(0 if i % 3 == 0 else i % 7, T0 + dt.timedelta(seconds=random.randint(0, 20000)))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp")
+    direct = W.session(df, "100 seconds").groupBy("k", "session").agg(F.count("*").alias("n")) \
+        .select("k", W.micros("session.start").alias("s"), W.micros(W.session_end()).alias("e"), "n")
+    pre = W.session_aggregate(df, "100 seconds", ["k"], {"n": ("cnt", None)}) \
+        .select("k", F.col("session_start").alias("s"), F.col("session_end").alias("e"), "n")
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, pre.collect()))
