@@ -58,25 +58,24 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ship_package(spark: SparkSession) -> None:
     """Make :mod:`paneflow` importable in Python workers (``addPyFile``), once per context.
 
-    The zip is written to the shared checkpoint folder so executors on other machines
-    can fetch it; user code pickled by reference (pandas UDFs, ``mapInPandas``
-    functions) then resolves on every executor.
+    The zip is built on the driver and handed to Spark's file distribution, which serves
+    it to every executor, so it works whatever file system the checkpoint folder is on.
+    User code pickled by reference (pandas UDFs, ``mapInPandas`` functions) then resolves
+    on every executor.
     """
     sc = spark.sparkContext
     if getattr(sc, "_paneflow_shipped", False):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(checkpoint_dir(spark), f"paneflow-{os.getpid()}-{id(sc)}.zip")
-    if "://" not in target or target.startswith("file:"):
-        target = target.replace("file:", "")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _dirs, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        sc.addPyFile(target)
+    target = os.path.join(tempfile.mkdtemp(prefix="paneflow-"), "paneflow-lib.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
     sc._paneflow_shipped = True
 
 
