@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +41,29 @@ def ship(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: every bucket count grows with it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0]+1, ... (count[0] numbers), begin[1], ... laid end to end."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: Text that a Python task holds at once, unless a single text is longer.
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes of text (or one longer text)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    k = 0
+    while k < len(batch):
+        n = max(1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + limit, "right")) - k)
+        yield batch.slice(k, n)
+        k += n
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """A text column as strings; null counts as the empty text."""
+    return [x or "" for x in column.to_pylist()]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import external_shuffle, line_dedup, quality_ledger
+from paneflow.llm import byte_bpe, external_shuffle, line_dedup, packing, quality_ledger
 from paneflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_external_shuffle")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle.digest(documents(spark, sf_dir))
+
+
+@_query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
