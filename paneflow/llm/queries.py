@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import byte_bpe, external_shuffle, line_dedup, packing, quality_ledger
+from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, quality_ledger
 from paneflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+@_query("op2_improbable_digest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable_digest.digest(documents(spark, sf_dir))
+
+
 @_query("op3_quality_ledger", QUALITY_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.digest(documents(spark, sf_dir))
