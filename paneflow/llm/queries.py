@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, quality_ledger
+from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, quality_ledger, site_template
 from paneflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                            public_tokenizers.PATTERN)
+
+
+@_query("op7_site_template")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.digest(documents(spark, sf_dir, "pages"))
