@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, quality_ledger, site_template, skip_chain_crf
+from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, prob_minhash, quality_ledger, site_template, skip_chain_crf
 from paneflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_skip_chain_crf")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip_chain_crf.digest(documents(spark, sf_dir))
+
+
+@_query("op9_prob_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.digest(documents(spark, sf_dir))
