@@ -6,9 +6,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import line_dedup, quality_ledger
+from paneflow.llm import line_dedup, packing, prob_minhash, quality_ledger, skip_chain_crf
 from paneflow.llm.common import documents
 from paneflow.session import checkpoint_dir
 
@@ -23,8 +24,31 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest ``doc_id`` stays."""
+    return prob_minhash.keep_one(docs)
 
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes a tag of its kind; every document stays."""
+    return skip_chain_crf.redact(docs, skip_chain_crf.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Placements of the documents' pieces in windows of 4096 ids."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
+
+#: SQL cannot express the sketch, the field or the tokenizer: the tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 
