@@ -101,7 +101,11 @@ def _measure(df: DataFrame, text: str) -> DataFrame:
                               (a["n"] + F.least(F.lit(NGRAM), x - a["last"])).cast("long").alias("n")),
         lambda a: a["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    return df.drop("__text", "__parts", "__lines", "__words", "__grams", "__sorted", "__starts")
+    # A one-row generator fences the measurements off: a filter above it cannot be pushed
+    # below, where it would repeat the whole expression for each array element.
+    rest = [c for c in df.columns if c not in MEASURES and not c.startswith("__")]
+    return df.select(*[F.col(f"`{c}`") for c in [*rest, *(x for x in ("__row",) if x in df.columns)]],
+                     F.inline(F.array(F.struct(*MEASURES))))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
