@@ -154,8 +154,24 @@ class Page:
             pop()
 
     def subtrees(self) -> set[int]:
-        """Hashes of the subtrees that hold text, inline elements aside."""
-        return {self.digest[i] for i in range(1, len(self.tag)) if self.size[i] and self.tag[i] not in INLINE}
+        """Hashes of the subtrees that hold text and may be template: what is never article
+        text, or always, need not be counted."""
+        in_article, gone = self._zones()
+        return {self.digest[i] for i in range(1, len(self.tag)) if self.size[i] and not gone[i] and self._deletable(i, in_article[i])}
+
+    def _zones(self) -> tuple[list[bool], list[bool]]:
+        """For each element: lies it in an article; is it, or lies it in, an element that is never article text."""
+        n = len(self.tag)
+        in_article, gone = [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            in_article[i] = in_article[p] or self.tag[p] in ("article", "main") and not gone[p]
+            gone[i] = gone[p] or self._junk(i, in_article[i]) or self.tag[i] == "article" and in_article[p] and self._is_comment(i)
+        return in_article, gone
+
+    def _deletable(self, i: int, in_article: bool) -> bool:
+        """May the subtree go as template?  Paragraphs and headings of the article stay."""
+        return self.tag[i] not in INLINE and self.tag[i] not in ("article", "main") and not (in_article and self.tag[i] in TEXT_BLOCKS)
 
     def _junk(self, i: int, in_article: bool) -> bool:
         tag, attrs = self.tag[i], self.attrs[i]
@@ -173,11 +189,7 @@ class Page:
     def text(self, template: set[int]) -> str:
         """The main text, without the subtrees in ``template``."""
         n = len(self.tag)
-        in_article, gone = [False] * n, [False] * n
-        for i in range(1, n):
-            p = self.parent[i]
-            in_article[i] = in_article[p] or self.tag[p] in ("article", "main") and not gone[p]
-            gone[i] = gone[p] or self._junk(i, in_article[i]) or self.tag[i] == "article" and in_article[p] and self._is_comment(i)
+        in_article, gone = self._zones()
         left = [0] * n
         for e, _, t in self.texts:
             if not gone[e]:
@@ -188,8 +200,7 @@ class Page:
             half = left[0] / 2
             for i in range(1, n):
                 gone[i] = gone[i] or gone[self.parent[i]] or (
-                    self.digest[i] in template and left[i] < half and self.tag[i] not in INLINE
-                    and not (in_article[i] and self.tag[i] in TEXT_BLOCKS) and self.tag[i] not in ("article", "main"))
+                    self.digest[i] in template and left[i] < half and self._deletable(i, in_article[i]))
         root = self._container(left, gone)
         inside = [False] * n
         inside[root] = True
