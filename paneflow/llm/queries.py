@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneflow.llm import byte_bpe, external_shuffle, improbable_digest, line_dedup, packing, prob_minhash, quality_ledger, site_template, skip_chain_crf
+from paneflow.llm import (
+    bwt_dedup,
+    byte_bpe,
+    external_shuffle,
+    improbable_digest,
+    line_dedup,
+    packing,
+    prob_minhash,
+    quality_ledger,
+    site_template,
+    skip_chain_crf,
+)
 from paneflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +132,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_prob_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.digest(documents(spark, sf_dir))
+
+
+@_query("op8_bwt_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(documents(spark, sf_dir))
