@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneflow.llm.common import blocks, durable, ship, text_of
@@ -40,8 +40,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4       # a pair at 0.8 shares no band with probability 3e-6
 REGISTERS = BANDS * ROWS
 SEED = 0x9E3779B97F4A7C15
-#: Pivots per bucket in the random rounds; after them every remaining pair is tested.
-RANDOM_PIVOTS = (4, 32)
+#: Buckets of few members are tested whole in the second round; larger ones against pivots,
+#: this many random ones in the third round; the fourth tests every pair that remains.
+FEW = 8
+RANDOM_PIVOTS = 32
 
 U = np.uint64
 
@@ -218,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     mark = None
     while True:
-        e = durable(star(star(e, True).distinct(), False).distinct())
+        e = durable(star(star(e, True), False).distinct())
         # a finished graph is a set of stars: every node has one neighbour, a centre
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == mark:
@@ -228,14 +230,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sig = durable(signatures(docs))
     nodes = durable(sig.where(F.col("doc_id").isNotNull()).groupBy("node")
                     .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     members = _buckets(nodes)
-    label = _link(spark, docs, nodes, members)
+    label = _link(docs, nodes, members)
     # class of a node: the smallest id of its component
     named = nodes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -258,53 +259,57 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return durable(kept.select("bucket", "node", "n").join(company, "node"))
 
 
-def _link(spark: SparkSession, docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _hubs(links: DataFrame) -> DataFrame:
+    """(node, label): a node of the same component for every linked node; not yet the same
+    one for the whole component.  Each node looks to the neighbour with most links, then to
+    that one's choice, so a star gets one label in one step."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    seen = both.join(degree.select(F.col("a").alias("b"), "d"), "b").groupBy("a").agg(F.max(F.struct("d", F.col("b").alias("to"))).alias("n"))
+    choice = durable(seen.join(degree, "a").select("a", F.greatest("n", F.struct("d", F.col("a").alias("to")))["to"].alias("to")))
+    return (choice.join(choice.select(F.col("a").alias("to"), F.col("to").alias("label")), "to")
+            .select(F.col("a").alias("node"), "label"))
+
+
+def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(node, label) of all nodes that are linked to another one."""
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     bag_rows = durable(bags(docs.withColumn("node", node_key()).join(wanted.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
                             .select("node", "text")).dropDuplicates(["node"]))
-    label = spark.createDataFrame([], "node binary, label binary")
-    tested = None
-    used = spark.createDataFrame([], "bucket long, pivot binary")
-    for turn in range(3 + len(RANDOM_PIVOTS)):
-        m = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    links = tested = used = None
+    for turn in range(4):
+        m = members if links is None else members.join(_hubs(links), "node", "left")
+        m = m.withColumn("label", F.coalesce("label", "node") if links is not None else F.col("node"))
         if turn:
-            # only buckets that still hold two classes
-            split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
-            m = durable(m.join(split.select("bucket"), "bucket"))
+            # only buckets that still hold two classes; those of few members are done after turn 1
+            m = m if turn == 1 else m.where(F.col("n") > FEW)
+            split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+            m = durable(m.join(split.where(F.col("lo") != F.col("hi")).select("bucket"), "bucket"))
             if m.isEmpty():
                 break
         rank = F.struct("company", "node", "label")
-        if turn < 2:
-            fresh = m
-            if turn:  # apart from the first pivot's class
-                old = used.join(m.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("old")), ["bucket", "pivot"])
-                fresh = m.join(old.select("bucket", "old"), "bucket").where(F.col("label") != F.col("old"))
-            p = fresh.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("with"))
-            p = durable(p)
-            used = p.select("bucket", "pivot")
+        top = lambda x: x.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("with"))
+        each = m.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with"))
+        if turn == 0:
+            p = used = durable(top(m))
+        elif turn == 1:  # large buckets: the most connected member outside the first pivot's class
+            old = used.select("bucket", "pivot").join(each, ["bucket", "pivot"]).select("bucket", F.col("with").alias("old"))
+            p = top(m.where(F.col("n") > FEW).join(old, "bucket").where(F.col("label") != F.col("old")))
+            p = p.union(m.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with")))
+        elif turn == 2:
+            p = m.where(F.pmod(F.xxhash64("node", F.lit(SEED % 1000)), F.col("n")) < RANDOM_PIVOTS).select(
+                "bucket", F.col("node").alias("pivot"), F.col("label").alias("with"))
         else:
-            few = RANDOM_PIVOTS[turn - 2] if turn - 2 < len(RANDOM_PIVOTS) else None
-            p = m if few is None else m.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < few)
-            p = p.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with"))
+            p = each
         pairs = (m.join(p, "bucket").where(F.col("label") != F.col("with"))
                  .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        links = durable(verified(pairs, bag_rows))
-        if links.isEmpty():
-            continue
-        # contract: links between labels, then every node takes its label's label
-        named = label.select(F.col("node"), F.col("label"))
-        up = (links.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-              .join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-              .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        top = components(up)
-        old = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-        label = durable(old.union(top.join(old.select("node"), "node", "left_anti")))
-    return label
+        new = durable(verified(pairs, bag_rows))
+        links = new if links is None else links.union(new)
+    return components(links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
