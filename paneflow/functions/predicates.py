@@ -70,22 +70,15 @@ def selectivity_filter(col, selectivity: float, lo: float, hi: float) -> Column:
 def failed_task_predicate(n_or: int = 500) -> Column:
     """FLT-6: ``event_type = 3 AND (cpu < 0 OR ram < 0 OR … OR cpu >= 0)``.
 
-    ``n_or`` disjuncts: ``n_or - 1`` never-true terms alternating over cpu, ram and
-    disk thresholds below zero, then ``cpu >= 0``.
+    ``n_or`` disjuncts: ``n_or - 1`` terms ``< 0`` over cpu, ram and disk in turn, then
+    ``cpu >= 0``.
     """
     cols = ("cpu", "ram", "disk")
-    terms = [F.col(cols[i % 3]) < F.lit(-float(i + 1)) for i in range(n_or - 1)]
+    terms = [F.col(cols[i % 3]) < F.lit(0.0) for i in range(n_or - 1)]
     terms.append(F.col("cpu") >= F.lit(0.0))
     return (F.col("event_type") == 3) & any_of(*terms)
 
 
-def failed_task_sql(n_or: int = 500) -> str:
-    """SQL text of :func:`failed_task_predicate` (same terms, for the oracle)."""
-    cols = ("cpu", "ram", "disk")
-    terms = [f"{cols[i % 3]} < {-float(i + 1)}" for i in range(n_or - 1)] + ["cpu >= 0.0"]
-    return "event_type = 3 AND (" + " OR ".join(terms) + ")"
-
-
 def from_text(expr: str) -> Column:
     """UDF-8: a boolean predicate supplied as SQL source text."""
     return F.expr(expr)

@@ -173,13 +173,11 @@ def top_k(df: DataFrame, k: int, partition: Sequence[str], value: str,
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def top_k_batch(df: DataFrame, k: int, partition: Sequence[str], value: str,
-                tie: Sequence[str] = ()) -> DataFrame:
-    """TOP-1 for streams: apply :func:`top_k` to each micro-batch result in ``foreachBatch``."""
-    return top_k(df, k, partition, value, tie)
+# ---------------------------------------------------------------- user aggregate
 
+#: Keys a task holds partial states of before it sends them on.
+MAX_STATES = 100_000
 
-# ---------------------------------------------------------------- user aggregate
 
 def combine_aggregate(df: DataFrame, keys: Sequence[str], value: str,
                       init: Callable[[], float],
@@ -189,7 +187,7 @@ def combine_aggregate(df: DataFrame, keys: Sequence[str], value: str,
                       out: str = "agg") -> DataFrame:
     """AGG-24 / UDF-3 / UDF-9: user aggregate (init / add / merge / result).
 
-    Phase 1 (``mapInPandas``, no shuffle): every partition folds its rows per key with
+    Phase 1 (``mapInArrow``, no shuffle): every partition folds its rows per key with
     ``add(state, values: pandas.Series)`` → one partial state per key and partition.
     Phase 2: partial states are shuffled on the keys and merged with ``merge`` in a
     grouped ``applyInPandas``; a group there holds one state per map partition
@@ -197,30 +195,46 @@ def combine_aggregate(df: DataFrame, keys: Sequence[str], value: str,
     States are doubles.
     """
     import pandas as pd
+    import pyarrow as pa
 
     keys = list(keys)
     schema_keys = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
     part_schema = f"{schema_keys}, _state double" if keys else "_state double"
 
-    def partial(it):
+    def rows_of(acc, types):
+        cols = list(zip(*acc, strict=True)) if acc else [()] * len(keys)
+        arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([float(x) for x in acc.values()], pa.float64())], names=[*keys, "_state"])
+
+    def partial(batches):
         acc: dict = {}
-        for pdf in it:
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            # integers with nulls as objects: a NULL key keeps its group, a long its digits
+            pdf = batch.to_pandas(integer_object_nulls=True)
             if keys:
-                for k, grp in pdf.groupby(keys, sort=False):
-                    k = k if isinstance(k, tuple) else (k,)
-                    acc[k] = add(acc.get(k, init()), grp[value])
+                k = pdf[keys].astype(object)
+                raw = k.to_numpy()
+                for at in k.groupby(keys, sort=False, dropna=False).indices.values():
+                    # the first row's values: the group's own label would turn longs to doubles
+                    name = tuple(None if pd.isna(x) else x for x in raw[at[0]])
+                    acc[name] = add(acc.get(name, init()), pdf[value].iloc[at])
+                if len(acc) > MAX_STATES:  # a partial state may be sent more than once
+                    yield rows_of(acc, types)
+                    acc = {}
             else:
                 acc[()] = add(acc.get((), init()), pdf[value])
-        rows = [(*k, float(s)) for k, s in acc.items()]
-        yield pd.DataFrame(rows, columns=keys + ["_state"])
+        if types is not None:
+            yield rows_of(acc, types)
 
-    parts = df.select(*keys, value).mapInPandas(partial, part_schema)
+    parts = df.select(*keys, value).mapInArrow(partial, part_schema)
 
     def final(pdf):
         st = init()
         for s in pdf["_state"]:
             st = merge(st, s)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
+        row = {k: pd.Series([None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0]], dtype=object) for k in keys}
         row[out] = [float(result(st))]
         return pd.DataFrame(row)
 

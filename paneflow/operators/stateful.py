@@ -45,7 +45,9 @@ def stop_intervals(reports: DataFrame, vid: str = "vid", time: str = "r_time",
     """
     stops = stop_events(reports, vid=vid, time=time, speed=speed) \
         .select(vid, "xway", "seg", "pos", F.col(time).alias("start_time"))
-    w = Window.partitionBy(vid).orderBy(time).rowsBetween(1, Window.unboundedFollowing)
+    # from the end backwards: a growing frame is kept up to date row by row, a shrinking one
+    # is recomputed for each row
+    w = Window.partitionBy(vid).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, -1)
     nxt = reports.select(vid, time, F.min(F.when(F.col(speed) != 0, F.col(time))).over(w)
                          .alias("end_time"))
     return stops.join(nxt.withColumnRenamed(time, "start_time"), [vid, "start_time"])

@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paneflow.session import cut_lineage
+
 _UNITS_US = {
     "microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
     "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000,
@@ -152,13 +154,12 @@ def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
               counts_before: dict[str, Column] | None = None) -> DataFrame:
     """Dense 0-based row index in ``order`` (per ``keys`` group if given), batch only.
 
-    Never a single-partition window, and a hot key is split: rows are cut into
-    ``buckets`` contiguous ranges of the leading order column (bounds from one
-    ``approxQuantile`` job — a fixed, small list), ``row_number`` runs per
-    ``(keys, bucket)``, and a prefix sum over the per-``(keys, bucket)`` counts
-    (a table of at most keys × buckets rows) shifts each bucket to its global
-    offset.  Everything is deterministic, so the frame may be evaluated by several
-    branches of one plan.
+    Rows are range-partitioned once on the keys and *all* order columns (any orderable
+    type), so a hot key and equal leading values are split over tasks, and stored in the shared
+    checkpoint folder.  Their place in the stored partition is then fixed
+    (``monotonically_increasing_id``), and the index is that place plus the rows of the
+    key in earlier partitions, a prefix sum over one row per (key, partition).  Nothing is
+    sorted twice, and several branches of one plan may read the result.
 
     ``counts_before`` maps output names to 0/1 expressions; each output is the number of
     rows *before* this one (same key group, same order) for which the expression is 1,
@@ -166,44 +167,29 @@ def row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     """
     keys, order = list(keys), list(order)
     counts_before = counts_before or {}
-    spark = df.sparkSession
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lead = order[0]
-    lead_type = dict(df.dtypes)[lead]
-    lead_num = micros(lead) if lead_type.startswith("timestamp") else F.col(lead).cast("double")
-    base = df.withColumn("_lead", lead_num)
-    probs = [i / nb for i in range(1, nb)]
-    qs = base.approxQuantile("_lead", probs, 1.0 / (4 * nb)) if nb > 1 else []
-    bounds = sorted(set(q for q in qs if q is not None))
-    if lead_type.startswith("timestamp") or lead_type in ("bigint", "int", "smallint", "tinyint"):
-        bounds = sorted(set(int(q) for q in bounds))
-    b = _bucket_of(F.col("_lead"), bounds) if bounds else F.lit(0)
-    tagged = base.withColumn("_bkt", b)
-    flags = {n: f"_f_{i}" for i, n in enumerate(counts_before)}
-    for n, c in counts_before.items():
-        tagged = tagged.withColumn(flags[n], c.cast("long"))
-    counts = tagged.groupBy(*keys, "_bkt").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f).alias(f"{f}_s") for f in flags.values()])
-    wo = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
-    offsets = counts.withColumn("_off", F.sum("_n").over(wo) - F.col("_n"))
-    for f in flags.values():
-        offsets = offsets.withColumn(f"{f}_o", F.sum(f"{f}_s").over(wo) - F.col(f"{f}_s"))
-    offsets = offsets.drop("_n", *[f"{f}_s" for f in flags.values()])
-    if not keys:
-        offsets = F.broadcast(offsets)  # one row per bucket: bounded by ``buckets``
-    wl = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    run = wl.rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn("_loc", F.row_number().over(wl) - 1)
-    for f in flags.values():
-        local = local.withColumn(f"{f}_l", F.sum(f).over(run) - F.col(f))
-    joined = local.join(offsets, [*keys, "_bkt"])
-    res = joined.withColumn(out, F.col("_off") + F.col("_loc"))
-    for n, f in flags.items():
-        res = res.withColumn(n, F.col(f"{f}_o") + F.col(f"{f}_l"))
-    drop = ["_lead", "_bkt", "_loc", "_off"]
-    for f in flags.values():
-        drop += [f, f"{f}_o", f"{f}_l"]
-    return res.drop(*drop)
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flags = {name: f"_f_{i}" for i, name in enumerate(counts_before)}
+    tagged = df.withColumns({flags[name]: c.cast("long") for name, c in counts_before.items()}) if flags else df
+    placed = cut_lineage(tagged.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order))
+    placed = placed.withColumn("_id", F.monotonically_increasing_id()) \
+        .withColumn("_part", F.shiftright("_id", 33)).withColumn("_loc", F.col("_id") - F.shiftleft("_part", 33))
+    counts = placed.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"), *[F.sum(f).alias(f"{f}_s") for f in flags.values()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_off": "_n", **{f"{f}_o": f"{f}_s" for f in flags.values()}}
+    # one row per (key, partition): a key has at most ``n`` of them
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first",
+                            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(o) for o, c in sums.items()])
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    res = placed.join(offsets if keys else F.broadcast(offsets), same) \
+        .withColumn(out, F.col("_off") + F.col("_loc") - F.col("_first"))
+    if flags:
+        run = Window.partitionBy(*keys, "_part").orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
+        for name, f in flags.items():
+            res = res.withColumn(name, F.col(f"{f}_o") + F.sum(f).over(run) - F.col(f))
+    return res.drop("_id", "_part", "_loc", "_p", "_first", *sums, *flags.values(), *[f"_k{i}" for i in range(len(keys))])
 
 
 def row_windows(df: DataFrame, size: int, slide: int, order: Sequence[str],

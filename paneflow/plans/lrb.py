@@ -116,13 +116,16 @@ def toll_pass(events: DataFrame, period_s: int = TOLL_PASS_S) -> DataFrame:
                      F.sum("n").over(w).alias("reports"), F.sum("s").over(w).alias("_s"))
     cum = cum.withColumn("avg_speed", F.col("_s") / F.col("reports")).drop("_s")
     acc = S.accidents(rep).select("xway", "seg", "start_time", "end_time")
-    t = F.col("pass_time")
-    hit = cum.join(acc, ["xway", "seg"]) \
-        .filter((F.col("start_time") < t) & (F.coalesce(F.col("end_time"), F.lit(2**62)) >= t)) \
-        .select("xway", "seg", "pass_time").distinct().withColumn("accident", F.lit(1))
-    out = cum.join(hit, ["xway", "seg", "pass_time"], "left") \
-             .withColumn("accident", F.coalesce(F.col("accident"), F.lit(0)))
-    return out.select("pass_time", "xway", "seg", "reports", "avg_speed", "accident")
+    # accidents begun before a pass less those ended before it: a sweep over both, linear in
+    # passes plus accidents instead of their product per segment
+    change = acc.select("xway", "seg", F.col("start_time").alias("t"), F.lit(1).alias("d")).union(
+        acc.where(F.col("end_time").isNotNull()).select("xway", "seg", F.col("end_time").alias("t"), F.lit(-1).alias("d")))
+    change = change.groupBy("xway", "seg", "t").agg(F.sum("d").alias("d")).withColumn("kind", F.lit(1))
+    both = cum.withColumns({"t": F.col("pass_time"), "kind": F.lit(0), "d": F.lit(0).cast("long")}).unionByName(
+        change, allowMissingColumns=True)
+    sweep = Window.partitionBy("xway", "seg").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("open", F.sum("d").over(sweep)).where(F.col("kind") == 0)
+    return out.select("pass_time", "xway", "seg", "reports", "avg_speed", F.when(F.col("open") > 0, 1).otherwise(0).alias("accident"))
 
 
 def _ev(spark, d):

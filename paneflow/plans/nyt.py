@@ -44,9 +44,9 @@ def trips_per_region(lineitem: DataFrame, window=WIN) -> DataFrame:
 
 
 def trips_per_region_count_window(lineitem: DataFrame, n: int = params.COUNT_WINDOW_ROWS) -> DataFrame:
-    """Q-NYT2: same over count windows of ``n`` trip records (pickup order)."""
-    t = W.count_windows(X.trips(lineitem), n, ["pickup_ts", "trip_id", "leg"])
-    return long_v_trips(t).groupBy("win_id", "region").agg(*_aggs())
+    """Q-NYT2: same over count windows of ``n`` trips that pass the filter (pickup order)."""
+    t = W.count_windows(long_v_trips(X.trips(lineitem)), n, ["pickup_ts", "trip_id", "leg"])
+    return t.groupBy("win_id", "region").agg(*_aggs())
 
 
 _GEO = ("(CAST(trunc((pickup_long + 750.0) * 100.0) AS BIGINT) + "
@@ -63,8 +63,8 @@ FROM trips WHERE {_FILTER} GROUP BY 1, 2, 3""", "trips")
 SQL_NYT2 = with_views(f"""
 SELECT win_id, {_GEO} AS region, {_AGGS}
 FROM (SELECT *, (row_number() OVER (ORDER BY pickup_ts, trip_id, leg) - 1) // {params.COUNT_WINDOW_ROWS} AS win_id
-      FROM trips) t
-WHERE {_FILTER} GROUP BY 1, 2""", "trips")
+      FROM trips WHERE {_FILTER}) t
+GROUP BY 1, 2""", "trips")
 
 SQL_GEO = with_views(f"SELECT trip_id, leg, {_GEO} AS region FROM trips", "trips")
 

@@ -9,7 +9,7 @@ second-sized windows would all be singletons.
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
-YSB_WINDOW = "1 hour"          # reference: 10 s (Saber) / 2 s (dataflow YSB)
+YSB_WINDOW = "1 hour"          # published values: 10 s and 2 s
 NYT_WINDOW = "30 days"         # trips: one shipdate per day, ~7 years
 TEXT_BUNDLE = 10               # documents per event-time step (SRC-14)
 TEXT_DELTA_S = 1               # seconds per step

@@ -164,18 +164,23 @@ def src_13(spark, d):
     from paneflow.plans.streams import tagged
     base = _scratch(spark, "drop")
     ev = load(spark, d, "events")
-    # files arrive in event-time order: one drop per 8-day slice and side
-    day = F.floor((F.unix_seconds("ts") - F.lit(BASE_US // 1_000_000)) / F.lit(8 * 86400))
-    for sl in range(4):
-        part = ev.filter(day == sl)
+    # files arrive in event-time order: one drop per slice of the data's own time range and
+    # side; the files of a slice cover its whole time, so the watermark trails by one slice
+    slices = 4
+    lo, hi = ev.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    lo, hi = (lo, hi) if lo is not None else (BASE_US, BASE_US)
+    width = (hi - lo) // slices + 1
+    which = F.floor((F.unix_micros("ts") - F.lit(lo)) / F.lit(width))
+    for sl in range(slices):
         for kind in ("view", "click"):
-            part.filter(F.col("event_type") == kind).coalesce(1) \
-                .write.mode("append").parquet(os.path.join(base, kind))
+            ev.filter((which == sl) & (F.col("event_type") == kind)) \
+              .write.mode("append").parquet(os.path.join(base, kind))
+    behind = f"{width // 1_000_000 + 7200} seconds"
     schema = ev.schema
     left = tagged(FS.file_drop_stream(spark, os.path.join(base, "view"), schema, 1), "view", 0) \
-        .withWatermark("ts", "2 hours")
+        .withWatermark("ts", behind)
     right = tagged(FS.file_drop_stream(spark, os.path.join(base, "click"), schema, 1), "click", 1) \
-        .withWatermark("ts", "2 hours")
+        .withWatermark("ts", behind)
     j = J.interval_join(left, right, ["k"], "1 hour", "1 hour").select("k", "l_v", "r_v")
     return runner.run_to_table(j, "drop_join")
 

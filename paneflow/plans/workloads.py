@@ -73,7 +73,7 @@ FROM cluster_events GROUP BY 1, 2""", "cluster_events")
 
 SQL_W3 = with_views(f"""
 SELECT job_id, task_id, epoch_us(ts) AS ts_us, cpu, ram, disk FROM cluster_events
-WHERE {P.failed_task_sql(500)}""", "cluster_events")
+WHERE event_type = 3 AND (cpu < 0 OR ram < 0 OR disk < 0 OR cpu >= 0)""", "cluster_events")
 
 SQL_PRJ2 = with_views(f"""SELECT job_id, task_id, {_nested_sql('cpu', DEPTH_W1)} AS x FROM cluster_events""",
                       "cluster_events")

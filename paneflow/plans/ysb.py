@@ -42,7 +42,7 @@ def ysb_campaign_counts(events: DataFrame, window=params.YSB_WINDOW,
     """
     views = ysb_views(events)
     dim = campaigns if campaigns is not None else X.campaigns(events)
-    joined = J.stream_static_join(views, dim, "ad_id", dim_bounded=True)
+    joined = J.stream_static_join(views, dim, "ad_id", dim_bounded=campaigns is None)
     w = W.tumbling(joined, window)
     return A.window_aggregate(w, "window", ["campaign_id"], [
         F.count(F.lit(1)).alias("events"),
@@ -62,15 +62,15 @@ def ysb_campaign_count(events: DataFrame, window=params.YSB_WINDOW,
                        campaigns: DataFrame | None = None) -> DataFrame:
     """Q-YSB2 / AGG-10: campaign count per window (``campaigns``: static dimension)."""
     dim = campaigns if campaigns is not None else X.campaigns(events)
-    joined = J.stream_static_join(ysb_views(events), dim, "ad_id", dim_bounded=True)
+    joined = J.stream_static_join(ysb_views(events), dim, "ad_id", dim_bounded=campaigns is None)
     w = W.tumbling(joined, window)
     return A.window_aggregate(w, "window", ["campaign_id"], [F.count(F.lit(1)).alias("events")])
 
 
 def ysb_count_window(events: DataFrame, n: int = params.COUNT_WINDOW_ROWS) -> DataFrame:
-    """Q-YSB4: Q-YSB2 over count-based tumbling windows of ``n`` source records."""
-    ev = W.count_windows(X.ad_events(events), n, ["ts", "event_id"])
-    views = ev.filter(P.prefix_equals("event_type", "view")).select("win_id", "ad_id")
+    """Q-YSB4: Q-YSB2 over count-based tumbling windows of ``n`` views."""
+    views = X.ad_events(events).filter(P.prefix_equals("event_type", "view")).select("ts", "event_id", "ad_id")
+    views = W.count_windows(views, n, ["ts", "event_id"]).select("win_id", "ad_id")
     joined = J.stream_static_join(views, X.campaigns(events), "ad_id", dim_bounded=True)
     return joined.groupBy("win_id", "campaign_id").agg(F.count(F.lit(1)).alias("events"))
 
@@ -123,9 +123,8 @@ GROUP BY 1, 2, 3""", "ad_events", "campaigns")
 SQL_YSB4 = with_views(f"""
 SELECT win_id, c.campaign_id, count(*) AS events
 FROM (SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // {params.COUNT_WINDOW_ROWS} AS win_id,
-             ad_id, event_type FROM ad_events) e
+             ad_id FROM ad_events WHERE starts_with(event_type, 'view')) e
 JOIN campaigns c ON e.ad_id = c.ad_id
-WHERE starts_with(e.event_type, 'view')
 GROUP BY 1, 2""", "ad_events", "campaigns")
 
 SQL_YSB5 = with_views(f"""

@@ -91,16 +91,29 @@ def apply_runtime_conf(spark: SparkSession) -> None:
                 pass
 
 
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder: the rows and their order in each partition
+    are fixed, whatever executor is lost later."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is always used.  Only when it is unset (local tests) a scratch
-    folder is created and registered.
+    folder and is always used.  Only when it is unset in a local session (tests) one
+    scratch folder per context is created; on a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="paneflow-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(d)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = getattr(sc, "_paneflow_scratch", None) or tempfile.mkdtemp(prefix="paneflow-ckpt-")
+        sc._paneflow_scratch = d
+    if getattr(sc, "_paneflow_checkpoint", None) != d:
+        sc.setCheckpointDir(d)
+        sc._paneflow_checkpoint = d
     return d

@@ -1,18 +1,15 @@
 """File sources (SRC-1, SRC-2 … SRC-8, SRC-13): CSV position reports, text lines,
 fixed-width binary records, file-drop streams.
 
-Fixed-width binary records are decoded with numpy structured dtypes inside the
-tasks (``mapInPandas`` over ``binaryFile`` rows — one row per file, so files are
-the unit of parallelism; keep files under 2 GB, Spark's per-row binary limit).  The
-layouts are declared once as field lists; byte order is a parameter (JVM writers use
+Fixed-width binary records are decoded with numpy structured dtypes inside the tasks.  A
+file is cut into record-aligned byte ranges and each task reads its ranges through the
+file's URI, so one file of any size is read by many tasks and a task holds one range.
+The layouts are declared once as field lists; byte order is a parameter (JVM writers use
 big-endian, C++ writers the native order).
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,19 +46,49 @@ def _schema(layout, fields=None) -> str:
     return ", ".join(f"`{n}` {_spark_type(t)}" for n, t in layout if fields is None or n in fields)
 
 
+#: Bytes of one range: what a task holds of a file at a time.
+RANGE_BYTES = 16 << 20
+
+
+def _open_fs(path: str):
+    """(file system, path in it) of a URI or an absolute path."""
+    from pyarrow import fs
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    return fs.FileSystem.from_uri(path)
+
+
+def byte_ranges(spark: SparkSession, path: str, unit: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, start, size): the files under ``path`` cut into ranges of whole units (the last
+    unit of a file may be short).  Only names and lengths are read."""
+    step = max(1, range_bytes // unit) * unit
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") > 0)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long")))
+    return (files.select("path", "length", starts.alias("start"))
+            .select("path", "start", F.least(F.lit(step), F.col("length") - F.col("start")).alias("size"))
+            .repartition("path", "start"))
+
+
+def _read(path: str, start: int, size: int) -> bytes:
+    fs, inner = _open_fs(path)
+    with fs.open_input_file(inner) as f:
+        f.seek(start)
+        return f.read(size)
+
+
 def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = ">",
-                     fields: list[str] | None = None) -> DataFrame:
+                     fields: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC-2 / SRC-4 / SRC-7 / SRC-8 batch reader; ``fields`` decodes only those
     columns (SRC-3, early projection: the dtype is subset, other bytes are skipped)."""
     dt = dtype(layout, byte_order)
     keep = [n for n, _ in layout if fields is None or n in fields]
-    sub = np.dtype({"names": keep, "formats": [dt.fields[n][0] for n in keep],
-                    "offsets": [dt.fields[n][1] for n in keep], "itemsize": dt.itemsize})
+    part = np.dtype({"names": keep, "formats": [dt.fields[n][0] for n in keep],
+                     "offsets": [dt.fields[n][1] for n in keep], "itemsize": dt.itemsize})
 
     def decode(batches):
         for pdf in batches:
-            for content in pdf["content"]:
-                arr = np.frombuffer(content, dtype=sub, count=len(content) // dt.itemsize)
+            for file, start, size in zip(pdf["path"], pdf["start"], pdf["size"], strict=True):
+                arr = np.frombuffer(_read(file, int(start), int(size)), dtype=part, count=int(size) // dt.itemsize)
                 cols = {}
                 for n in keep:
                     a = arr[n]
@@ -73,20 +100,40 @@ def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = "
                         cols[n] = a.astype("int64")
                 yield pd.DataFrame(cols)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(decode, _schema(layout, keep))
+    return byte_ranges(spark, path, dt.itemsize, range_bytes).mapInPandas(decode, _schema(layout, keep))
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """SRC-5: fixed-size chunks (path, start, chunk) of files; the last one of a file may be short."""
+    def cut(batches):
+        for pdf in batches:
+            for file, start, size in zip(pdf["path"], pdf["start"], pdf["size"], strict=True):
+                raw = _read(file, int(start), int(size))
+                at = range(0, len(raw), chunk_bytes)
+                yield pd.DataFrame({"path": [file] * len(at), "start": [int(start) + k for k in at],
+                                    "chunk": [raw[k:k + chunk_bytes] for k in at]})
+
+    return byte_ranges(spark, path, chunk_bytes, range_bytes).mapInPandas(cut, "path string, start bigint, chunk binary")
 
 
 def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">") -> int:
-    """Write ``df`` (columns named as the layout) as fixed-width records: every task
-    writes its own file into ``out_dir`` (a shared folder).  Returns the record count."""
+    """Write ``df`` (columns named as the layout) as fixed-width records into ``out_dir`` (a
+    folder on shared storage).  Returns the record count.
+
+    A task writes an attempt file and renames it to the name of its partition at the end,
+    so a retried or speculative task replaces its file and never adds a second one.
+    """
     dt = dtype(layout, byte_order)
     names = [n for n, _ in layout]
 
     def write(batches):
-        path = os.path.join(out_dir, f"part-{uuid.uuid4().hex}.bin")
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        fs, inner = _open_fs(out_dir)
+        fs.create_dir(f"{inner}/_attempts", recursive=True)
+        attempt = f"{inner}/_attempts/{task.partitionId()}-{task.taskAttemptId()}"
         n = 0
-        with open(path, "wb") as f:
+        with fs.open_output_stream(attempt) as f:
             for pdf in batches:
                 arr = np.zeros(len(pdf), dtype=dt)
                 for c in names:
@@ -94,9 +141,9 @@ def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">"
                     arr[c] = v.astype(str).str.encode("latin-1").values if dt[c].kind == "S" else v.values
                 f.write(arr.tobytes())
                 n += len(pdf)
+        fs.move(attempt, f"{inner}/part-{task.partitionId():05d}.bin")
         yield pd.DataFrame({"records": [n]})
 
-    os.makedirs(out_dir, exist_ok=True)
     done = df.select(*names).mapInPandas(write, "records bigint")
     return int(done.agg(F.sum("records")).first()[0] or 0)
 

@@ -2,7 +2,7 @@
 
 ``run_to_table`` drives a streaming DataFrame through an ``availableNow`` trigger into
 a Parquet table under the shared checkpoint folder (``spark.checkpoint.dir``) and
-returns the table as a batch DataFrame.  The checkpoint location makes the run
+returns the table as a batch DataFrame.  Given a stable folder (``base``) the run is
 restartable after executor or driver loss: a rerun resumes from the last committed
 offsets and the file sink's log makes the output exactly-once (STR-9).
 """
@@ -25,10 +25,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append",
-                 trigger: dict | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Run ``stream`` until all available input is processed; return its output."""
+                 trigger: dict | None = None, partition_by: list[str] | None = None,
+                 base: str | None = None) -> DataFrame:
+    """Run ``stream`` until all available input is processed; return its output.
+
+    ``base`` is a folder on shared storage that holds the table and its checkpoint: a
+    second run with the same folder resumes after the last committed offsets.  Without one
+    the run is a single one in a fresh folder.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     out, ckpt = os.path.join(base, "data"), os.path.join(base, "checkpoint")
     w = stream.writeStream.format("parquet").outputMode(output_mode) \
         .option("checkpointLocation", ckpt).option("path", out)
@@ -96,16 +102,28 @@ def late_rows(batch: DataFrame, ts: str, previous_watermark_us: int) -> DataFram
     return batch.filter(F.unix_micros(F.col(ts)) < F.lit(previous_watermark_us))
 
 
-def run_complete(stream: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
-    """STR-12: run an aggregate in ``complete`` (or ``update``) mode; every epoch's
-    output replaces the previous snapshot folder (idempotent), and the final snapshot
-    is returned.  ``complete`` includes windows that are still open."""
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """STR-12: run an aggregate in ``complete`` mode; every epoch's output replaces the
+    previous snapshot folder (idempotent), and the final snapshot is returned, windows that
+    are still open included."""
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
-    out = os.path.join(base, "snapshot")
+    out = os.path.join(scratch_path(spark, name), "snapshot")
 
     def write(df: DataFrame, epoch_id: int) -> None:
         df.write.mode("overwrite").parquet(out)
 
-    run_foreach_batch(stream, name, write, output_mode=output_mode)
+    run_foreach_batch(stream, name, write, output_mode="complete")
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """STR-12: run an aggregate in ``update`` mode.  An epoch holds only the rows that
+    changed, so each epoch keeps a folder of its own and a key's row is the one of its
+    latest epoch."""
+    spark = stream.sparkSession
+    out = os.path.join(scratch_path(spark, name), "epochs")
+    run_foreach_batch(stream, name, idempotent_parquet_batches(out), output_mode="update")
+    rows = spark.read.schema(stream.schema.add("epoch", "long")).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"))
+    return last.select(*keys, "r.*").select(*stream.columns)
