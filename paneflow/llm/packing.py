@@ -34,8 +34,9 @@ from paneflow.llm.common import blocks, durable, ship, spread
 WINDOW = 4096
 END_ID = 2
 GROUP_ROWS = 20_000
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 1_000_000
 SEPARATOR = "~"
+MARKS = (".", ",", ";", ":", "!", "?")
 SEED = 41
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -57,21 +58,35 @@ class ChunkEncoder:
         self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: many per call, with a separator whose id no other chunk can give
-        (the id stands for a piece that ends in the separator's own bytes)."""
+        """Encode new chunks.  A Latin word with one closing mark is the word's ids and the
+        mark's (the tokenizer's pattern always cuts between them), so the word is encoded once."""
+        split = {x: x[:-1] for x in chunks if x[-1:] in MARKS and (w := x[:-1]).isalpha() and w.islower() and max(w) < "\u0250"}
+        fresh = dict.fromkeys(x for x in (*split.values(), *MARKS, *(c for c in chunks if c not in split)) if x not in self.memo)
+        self._encode(list(fresh))
+        if split:
+            word = np.fromiter((self.memo[w] for w in split.values()), np.int64, len(split))
+            mark = np.fromiter((self.memo[x[-1]] for x in split), np.int64, len(split))
+            both = np.stack([word, mark], axis=1).ravel()
+            self._add(list(split), self.flat[spread(self.begin[both], self.count[both])], self.count[word] + self.count[mark])
+
+    def _add(self, names: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        self.memo.update(zip(names, range(len(self.memo), len(self.memo) + len(names)), strict=True))
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.cumsum(self.count) - self.count
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Through the tokenizer: many chunks per call, with a separator whose id no other chunk
+        can give (the id stands for a piece that ends in the separator's own bytes)."""
         plain = [x for x in chunks if SEPARATOR not in x]
         odd = [x for x in chunks if SEPARATOR in x]
         (mark,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         lines = [plain[k:k + 256] for k in range(0, len(plain), 256)]
         got = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(x) + f" {SEPARATOR}" for x in lines], add_special_tokens=False)
         flat = np.concatenate([np.empty(0, np.uint32), *[np.array(x.ids, dtype=np.uint32) for x in got]])
-        ends = np.flatnonzero(flat == mark)
-        counts = np.diff(ends, prepend=-1) - 1
+        counts = np.diff(np.flatnonzero(flat == mark), prepend=-1) - 1
         rest = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in odd]
-        self.memo.update(zip(plain + odd, range(len(self.memo), len(self.memo) + len(chunks)), strict=True))
-        self.count = np.concatenate([self.count, counts, np.array([len(x) for x in rest], np.int64)])
-        self.flat = np.concatenate([self.flat, flat[flat != mark], *rest])
-        self.begin = np.cumsum(self.count) - self.count
+        self._add(plain + odd, np.concatenate([flat[flat != mark], *rest]), np.concatenate([counts, np.array([len(x) for x in rest], np.int64)]))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, without special tokens.  The tokenizer lower-cases, so A-Z are
