@@ -93,9 +93,9 @@ def pane_sliding(df: DataFrame, size, slide, aggs: dict[str, tuple[str, str | No
             partial.append(F.sum(value).alias(f"_s_{name}"))
         if kind in ("min", "max"):
             partial.append(agg_column(kind, value, f"_{kind}_{name}"))
-    panes = df.groupBy(F.window(ts, f"{pane} microseconds").start.alias("_pane"), *keys) \
-              .agg(*partial)
-    win = F.window("_pane", f"{s} microseconds", f"{d} microseconds")
+    panes = df.groupBy(F.window(ts, f"{pane} microseconds").alias("_pane"), *keys).agg(*partial)
+    # window_time keeps the watermark, so the second window works on a stream too
+    win = F.window(F.window_time("_pane"), f"{s} microseconds", f"{d} microseconds")
     windowed = panes.withColumn("window", win)
     if stream_start is not None:
         windowed = windowed.filter(F.col("window.start") >= F.lit(stream_start).cast("timestamp"))

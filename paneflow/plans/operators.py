@@ -15,10 +15,11 @@ from paneflow.operators import aggregate as A
 from paneflow.operators import project as PR
 from paneflow.operators import windows as W
 from paneflow.plans import params
-from paneflow.plans.registry import alias, register
+from paneflow.plans.registry import ORACLES, alias, register
 from paneflow.plans.sqlviews import with_views
 from paneflow.sources import fixtures as X
 from paneflow.sources.tables import load
+from paneflow.streaming import runner
 
 H = params.HOUR_US
 D = params.DAY_US
@@ -215,6 +216,15 @@ def agg_5(spark, d):
 alias("win_6_superwindow_panes", "agg_5_pane_sliding_aggregate")
 
 
+@register("agg_5_pane_sliding_stream", _sliding_sql(_SLIDE_AGGS))
+def agg_5_stream(spark, d):
+    """The pane rewrite as an append-mode stream."""
+    return runner.replay(_ev(spark, d), "panes", lambda s, base: runner.run_to_table(
+        A.pane_sliding(_v100(s.withWatermark("ts", "0 seconds")), "2 hours", "30 minutes", {
+            "cnt": ("cnt", None), "sum_v": ("sum", "v100"), "min_v": ("min", "v100"),
+            "max_v": ("max", "v100"), "avg_v": ("avg", "v100")}, keys=["event_type"]), "panes", base=base))
+
+
 @register("win_2_sliding_drop_leading", f"""
 SELECT * FROM ({_sliding_sql("count(*) AS cnt, CAST(sum(v100) AS BIGINT) AS sum_v")}) y
 WHERE window_start >= {STREAM_START_US}""")
@@ -345,6 +355,19 @@ def win_5(spark, d):
     return W.session_aggregate(_ev(spark, d), SESSION_GAP, ["user_id"], {"n": ("cnt", None)})
 
 
+@register("win_5_session_stream", ORACLES["win_5_session_windows"])
+def win_5_stream(spark, d):
+    """Session windows as an append-mode stream over events that arrive up to an hour late."""
+    def sessions(s):
+        w = W.session(s.withWatermark("ts", "1 hour"), SESSION_GAP)
+        g = w.groupBy("session", "user_id").agg(F.count(F.lit(1)).alias("n"))
+        return g.select("user_id", W.micros("session.start").alias("session_start"),
+                        W.micros(W.session_end("session")).alias("session_end"), "n")
+
+    return runner.replay(_ev(spark, d), "sessions", lambda s, base: runner.run_to_table(sessions(s), "sessions", base=base),
+                         jitter_us=params.HOUR_US)
+
+
 @register("win_7_processing_time_window")
 def win_7(spark, d):
     w = W.processing_time(_ev(spark, d).select("event_id"), "10 minutes")

@@ -19,6 +19,7 @@ from paneflow.operators import windows as W
 from paneflow.plans import params
 from paneflow.plans.registry import alias, register
 from paneflow.plans.sqlviews import with_views
+from paneflow.session import cut_lineage
 from paneflow.sources import fixtures as X
 from paneflow.sources.tables import load, load_stream
 from paneflow.streaming import runner
@@ -89,18 +90,23 @@ def stream_two_stream_join(spark, d: str, w=JOIN_WINDOW) -> DataFrame:
     return runner.run_to_table(j.select("k", "l_v", "r_v"), "jn8")
 
 
-def stream_campaign_counts(spark, d: str) -> DataFrame:
-    """Q-YSB3 as an append-mode stream (STR-1 / STR-2): watermark 0 s on ascending
-    timestamps; windows close when the watermark passes their end."""
+def _views(spark, d: str) -> DataFrame:
+    """The events that reach the watermark: the optimizer would push the view filter below
+    it anyway, and a replayed stream's closing row must pass it."""
+    return load(spark, d, "events").where(F.col("event_type").startswith("view"))
+
+
+def stream_campaign_counts(spark, d: str, delay: str = "0 seconds", jitter_us: int = 0) -> DataFrame:
+    """Q-YSB3 as an append-mode stream: windows close when the watermark passes their end."""
     from paneflow.plans.ysb import ysb_campaign_counts
-    ev = load_stream(spark, d, "events").withWatermark("ts", "0 seconds")
-    return runner.run_to_table(ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d)),
-                               "ysb_stream")
+    dim = _static_campaigns(spark, d)
+    return runner.replay(_views(spark, d), "ysb_stream", lambda s, base: runner.run_to_table(
+        ysb_campaign_counts(s.withWatermark("ts", delay), campaigns=dim), "ysb", base=base), jitter_us=jitter_us)
 
 
 def _static_campaigns(spark, d: str) -> DataFrame:
-    """The static ad → campaign dimension (batch) joined to streams."""
-    return X.campaigns(load(spark, d, "events"))
+    """The static ad → campaign dimension (batch) joined to streams, derived once."""
+    return cut_lineage(X.campaigns(load(spark, d, "events")))
 
 
 def _sql_join():
@@ -193,43 +199,35 @@ alias("agg_19_rtt_per_ip_pair", "q_net")
 
 # ---------------------------------------------------------------- streaming registrations
 
-def _closed(sql: str, delay_us: int = 0) -> str:
-    """Oracle for append-mode windows: only windows closed by the final watermark are
-    emitted.  The watermark is max event time − delay over the rows that reach the
-    watermark operator; Catalyst pushes the ``view`` filter below it, so that is the
-    latest *view* event (in ms)."""
-    return (f"SELECT * FROM ({sql}) q WHERE window_end <= "
-            f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {delay_us} FROM events "
-            f"WHERE starts_with(event_type, 'view'))")
-
-
 def _ysb_sql():
     from paneflow.plans.ysb import SQL_YSB2, SQL_YSB3
     return SQL_YSB3, SQL_YSB2
 
 
-@register("str_1_ascending_watermark_stream", _closed(_ysb_sql()[0]))
+@register("str_1_ascending_watermark_stream", _ysb_sql()[0])
 def str_1(spark, d):
     return stream_campaign_counts(spark, d)
 
 
-@register("str_4_out_of_order_watermark_delay", _closed(_ysb_sql()[0], 2 * H))
+@register("str_4_out_of_order_watermark_delay", _ysb_sql()[0])
 def str_4(spark, d):
-    from paneflow.plans.ysb import ysb_campaign_counts
-    ev = load_stream(spark, d, "events").withWatermark("ts", "2 hours")
-    return runner.run_to_table(ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d)),
-                               "ysb_delay")
+    """Rows arrive up to two hours late; a watermark two hours behind loses none of them."""
+    return stream_campaign_counts(spark, d, "2 hours", 2 * H)
 
 
-@register("str_9_exactly_once_foreach_batch", _closed(_ysb_sql()[0]))
+@register("str_9_exactly_once_foreach_batch", _ysb_sql()[0])
 def str_9(spark, d):
     import os
     from paneflow.plans.ysb import ysb_campaign_counts
-    ev = load_stream(spark, d, "events").withWatermark("ts", "0 seconds")
-    out = os.path.join(runner.scratch_path(spark, "ysb_fb"), "out")
-    agg = ysb_campaign_counts(ev, campaigns=_static_campaigns(spark, d))
-    runner.run_foreach_batch(agg, "ysb_fb", runner.idempotent_parquet_batches(out))
-    return spark.read.schema(agg.schema).parquet(out).drop("epoch")
+    dim = _static_campaigns(spark, d)
+
+    def run(stream, base):
+        out = os.path.join(base, "out")
+        agg = ysb_campaign_counts(stream.withWatermark("ts", "0 seconds"), campaigns=dim)
+        runner.run_foreach_batch(agg, "ysb_fb", runner.idempotent_parquet_batches(out), base=base)
+        return spark.read.schema(agg.schema).parquet(out).drop("epoch")
+
+    return runner.replay(_views(spark, d), "ysb_fb", run)
 
 
 @register("str_12_output_modes_complete", _ysb_sql()[1])
@@ -256,3 +254,55 @@ alias("str_2_punctuation_watermark", "str_1_ascending_watermark_stream")
 alias("str_3_two_input_min_watermark", "jn_8_join_state_expiry_stream")
 alias("udf_5_keyed_state_process_function", "str_6_stop_detector_stream")
 alias("snk_4_foreach_batch", "str_9_exactly_once_foreach_batch")
+
+
+# ---------------------------------------------------------------- streams of the text and window queries
+
+def _text_sql():
+    from paneflow.plans.text import SQL_DIST, SQL_TOPK, SQL_WC
+    return SQL_WC, SQL_TOPK, SQL_DIST
+
+
+def _docs(spark, d):
+    from paneflow.plans.text import documents
+    return documents(spark, d).select("doc_id", "text", "ts")
+
+
+@register("q_wc_stream", _text_sql()[0])
+def q_wc_stream(spark, d):
+    """Q-WC as an append-mode stream."""
+    from paneflow.plans.text import word_count
+    return runner.replay(_docs(spark, d), "wc", lambda s, base: runner.run_to_table(
+        word_count(s.withWatermark("ts", "0 seconds")), "wc", base=base))
+
+
+@register("q_topk_stream", _text_sql()[1])
+def q_topk_stream(spark, d):
+    """Q-TOPK as a stream: a closed window leaves with all its words in one micro-batch, so
+    the batch callback ranks them and writes the winners."""
+    import os
+    from paneflow.plans.text import word_count
+
+    def run(stream, base):
+        out = os.path.join(base, "out")
+        counts = word_count(stream.withWatermark("ts", "0 seconds"))
+        put = runner.idempotent_parquet_batches(out)
+        runner.run_foreach_batch(counts, "topk", lambda b, e: put(
+            A.top_k(b, 10, ["window_start"], "cnt", tie=["word"]), e), base=base)
+        return spark.read.parquet(out).drop("epoch")
+
+    return runner.replay(_docs(spark, d), "topk", run)
+
+
+@register("q_dist_stream", _text_sql()[2])
+def q_dist_stream(spark, d):
+    """Q-DIST / AGG-13 as a stream: duplicates dropped per window, then counted."""
+    from paneflow.functions import text as T
+    from paneflow.plans.text import WIN
+
+    def count(s):
+        ln = s.withWatermark("ts", "0 seconds").select("ts", F.explode(T.lines("text")).alias("line"))
+        once = W.tumbling(ln, WIN).select("window", "line").dropDuplicates(["window", "line"])
+        return A.window_aggregate(once, "window", [], [F.count(F.lit(1)).alias("distinct_lines")])
+
+    return runner.replay(_docs(spark, d), "dist", lambda s, base: runner.run_to_table(count(s), "dist", base=base))

@@ -48,13 +48,15 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append",
 
 
 def run_foreach_batch(stream: DataFrame, name: str,
-                      fn: Callable[[DataFrame, int], None], output_mode: str = "append") -> None:
+                      fn: Callable[[DataFrame, int], None], output_mode: str = "append",
+                      base: str | None = None) -> None:
     """SNK-4: per-micro-batch callback (``foreachBatch``), run to completion.
 
     ``fn(batch_df, epoch_id)`` must be idempotent per epoch id for exactly-once output.
+    ``base`` as in :func:`run_to_table`.
     """
     spark = stream.sparkSession
-    ckpt = os.path.join(scratch_path(spark, name), "checkpoint")
+    ckpt = os.path.join(base or scratch_path(spark, name), "checkpoint")
     q = stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt) \
         .foreachBatch(fn).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -62,6 +64,34 @@ def run_foreach_batch(stream: DataFrame, name: str,
         raise q.exception()
 
 
+def replay(df: DataFrame, name: str, run: Callable[[DataFrame, str], DataFrame | None],
+           slices: int = 3, jitter_us: int = 0, ts: str = "ts") -> DataFrame | None:
+    """Feed a batch frame to a stream slice by slice and flush it.
+
+    The rows arrive in ``slices`` drops in event-time order; with ``jitter_us`` a row arrives
+    up to that much later than its time says.  ``run(stream, base)`` is called after each
+    drop with the same folder, so every call resumes the query.  The last drop is a copy of
+    one row, dated ten years after all others: it closes every window and stays open itself.
+    """
+    spark = df.sparkSession
+    base = scratch_path(spark, name)
+    drops = os.path.join(base, "in")
+    t = F.unix_micros(ts)
+    arrival = t + (F.pmod(F.xxhash64(*df.columns), F.lit(jitter_us)) if jitter_us else F.lit(0))
+    lo, hi = df.agg(F.min(arrival), F.max(arrival)).first()
+    out = None
+    if lo is None:
+        df.write.parquet(drops)
+        return run(spark.readStream.schema(df.schema).parquet(drops), base)
+    width = (hi - lo) // slices + 1
+    which = F.floor((arrival - F.lit(lo)) / F.lit(width))
+    last = F.timestamp_micros(F.lit(hi + 10 * 365 * 86_400_000_000)).cast(df.schema[ts].dataType)
+    for part in [*(df.where(which == k) for k in range(slices)), df.where(t.isNotNull()).limit(1).withColumn(ts, last)]:
+        part.write.mode("append").parquet(drops)
+        out = run(spark.readStream.schema(df.schema).parquet(drops), base)
+    return out
+
+
 def idempotent_parquet_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: each epoch overwrites its own ``epoch=<id>`` folder, so
     a replayed epoch after a failure replaces, never duplicates, its rows."""

@@ -117,3 +117,29 @@ def test_drive_on_times(spark):
     df = spark.createDataFrame(rows, "vid long, r_time long, xway long, seg long, speed long, pos long")
     (r,) = S.stop_intervals(df).collect()
     assert r["end_time"] == 30 * 9 and r["start_time"] == 30 * 4
+
+
+@pytest.mark.parametrize("chunk", [45, 100, 300, 10**6])
+def test_stop_runs_cross_chunks(spark, chunk):
+    """Chunk size does not change the stops; compared with a plain loop."""
+    import random
+    r = random.Random(9)
+    rows = []
+    for vid in (1, 2, None):
+        pos = 0
+        for i in range(160):
+            if r.random() < 0.15:
+                pos += 1
+            rows.append((vid, 30 * i, 0, 5, 0 if r.random() < 0.6 else 30, pos))
+    df = spark.createDataFrame(rows, "vid long, r_time long, xway long, seg long, speed long, pos long")
+    want, state = [], {}
+    for vid, t, _, _, speed, pos in rows:
+        last, n = state.get(vid, (None, 0))
+        n = 1 if pos != last else n + (speed == 0)
+        if pos == last and speed == 0 and n == 4:
+            want.append((vid, t))
+        state[vid] = (pos, n)
+    assert sorted(((x["vid"], x["r_time"]) for x in S.stop_events(df, chunk=chunk).collect()), key=str) == sorted(want, key=str)
+    ends = {(x["vid"], x["start_time"]): x["end_time"] for x in S.stop_intervals(df, chunk=chunk).collect()}
+    for (vid, t), end in ends.items():
+        assert end == min((y[1] for y in rows if y[0] == vid and y[1] > t and y[4] != 0), default=None)
