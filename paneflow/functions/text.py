@@ -29,8 +29,9 @@ def words(text) -> Column:
 
 def explode_words(df: DataFrame, text: str = "text", out: str = "word",
                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """UDF-2 flat-map: one row per word."""
-    return df.select(*keep, F.explode(words(text)).alias(out))
+    """UDF-2 flat-map: one row per word, upper-cased after the explode (inside codegen)."""
+    raw = F.regexp_extract_all(col_of(text), F.lit(WORD_PATTERN), 1)
+    return df.select(*keep, F.explode(raw).alias(out)).select(*keep, F.upper(out).alias(out))
 
 
 def lines(text, chunked: bool = False) -> Column:
@@ -53,10 +54,13 @@ def find_all(text, pattern: str, group: int = 0) -> Column:
 
 
 def find_all_with_groups(text, pattern: str, groups: int) -> Column:
-    """FN-6: array of structs (match, g1 … gN) for every match of ``pattern``."""
-    t = col_of(text)
-    arrs = [F.regexp_extract_all(t, F.lit(pattern), g) for g in range(groups + 1)]
-    return F.arrays_zip(*arrs)
+    """FN-6: array of structs (0: match, 1 … N: groups) for every match of ``pattern``.
+
+    The text is matched once; the groups come from each match by itself, which is the
+    same for a pattern without look-around.
+    """
+    each = lambda m: F.struct(m.alias("0"), *[F.regexp_extract(m, pattern, g).alias(str(g)) for g in range(1, groups + 1)])
+    return F.transform(F.regexp_extract_all(col_of(text), F.lit(pattern), 0), each)
 
 
 def count_substring(text, s: str) -> Column:
@@ -94,11 +98,9 @@ def keyword_score(df: DataFrame, dictionary: DataFrame, id_cols: list[str],
 
     Tokens are exploded in place and joined to the dictionary, which is broadcast only
     behind a size check; use :func:`keyword_score_column` for literal dictionaries.  Records without any
-    dictionary token get score 0 (left join back to the record ids).
+    dictionary token get score 0.  The one shuffle carries a partial sum per record.
     """
-    toks = df.select(*id_cols, F.explode(tokens(text)).alias("word"))
+    toks = df.select(*id_cols, F.explode_outer(tokens(text)).alias("word"))
     from paneflow.operators.joins import checked_broadcast
-    hit = toks.join(checked_broadcast(dictionary), "word").groupBy(*id_cols) \
-              .agg(F.sum("score").alias(out))
-    return df.select(*id_cols).join(hit, id_cols, "left") \
-             .withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
+    return toks.join(checked_broadcast(dictionary), "word", "left").groupBy(*id_cols) \
+               .agg(F.coalesce(F.sum("score"), F.lit(0)).cast("long").alias(out))

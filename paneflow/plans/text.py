@@ -54,7 +54,7 @@ def page_records(spark, d: str) -> DataFrame:
 
 def word_count(docs: DataFrame, window=WIN) -> DataFrame:
     """Q-WC / AGG-12: count per (window, word)."""
-    w = W.tumbling(T.explode_words(docs, keep=("ts",)), window)
+    w = T.explode_words(W.tumbling(docs, window), keep=("window",))  # one window per text, not per word
     return A.window_aggregate(w, "window", ["word"], [F.count(F.lit(1)).alias("cnt")])
 
 
@@ -71,15 +71,13 @@ def grep(records: DataFrame, pattern: str = T.URL_PATTERN) -> DataFrame:
 
 def windowed_grep(records: DataFrame, pattern: str = T.URL_PATTERN, window=WIN) -> DataFrame:
     """Q-WGREP: matches collected per window, as the bag (window, match, occurrences)."""
-    m = records.select("ts", F.explode(T.find_all("text", pattern)).alias("match"))
-    w = W.tumbling(m, window)
+    w = W.tumbling(records, window).select("window", F.explode(T.find_all("text", pattern)).alias("match"))
     return A.window_aggregate(w, "window", ["match"], [F.count(F.lit(1)).alias("occurrences")])
 
 
 def distinct_lines(docs: DataFrame, window=WIN) -> DataFrame:
     """Q-DIST / AGG-13: number of distinct non-empty lines per window (exact)."""
-    ln = docs.select("ts", F.explode(T.lines("text")).alias("line"))
-    w = W.tumbling(ln, window)
+    w = W.tumbling(docs, window).select("window", F.explode(T.lines("text")).alias("line"))
     return A.window_aggregate(w, "window", [], [F.countDistinct("line").alias("distinct_lines")])
 
 
