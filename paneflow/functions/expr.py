@@ -72,19 +72,25 @@ def nested_projection(c, depth: int, mul: float = 3.0, div: float = 2.0) -> Colu
 
 # ---------------------------------------------------------------- domain functions
 
+# Offsets, scale and multiplier of the trip region id, cells, feet of a road
+# segment, vehicles and speed limit of the toll rule.
+GEO_LON_OFFSET, GEO_LAT_OFFSET, GEO_SCALE, GEO_MULTIPLIER, GEO_CELLS = 750.0, 1400.0, 100.0, 12345, 100
+SEGMENT_FEET = 5280
+TOLL_VEHICLES, TOLL_SPEED = 50, 40.0
+
 def geo_cell(lon, lat) -> Column:
     """FN-9: NYT region id ``(trunc((lon+750)*100) + 12345*trunc((lat+1400)*100)) % 100``."""
-    x = ((col_of(lon) + F.lit(750.0)) * F.lit(100.0)).cast("long")
-    y = ((col_of(lat) + F.lit(1400.0)) * F.lit(100.0)).cast("long")
-    return (x + F.lit(12345) * y) % 100
+    x = ((col_of(lon) + F.lit(GEO_LON_OFFSET)) * F.lit(GEO_SCALE)).cast("long")
+    y = ((col_of(lat) + F.lit(GEO_LAT_OFFSET)) * F.lit(GEO_SCALE)).cast("long")
+    return (x + F.lit(GEO_MULTIPLIER) * y) % GEO_CELLS
 
 
-def segment(pos, feet: int = 5280) -> Column:
+def segment(pos, feet: int = SEGMENT_FEET) -> Column:
     """FN-10: Linear Road segment ``pos div 5280``."""
     return F.call_function("div", col_of(pos), F.lit(feet))
 
 
-def toll(vehicles, avg_speed, threshold: int = 50, speed_limit: float = 40.0,
+def toll(vehicles, avg_speed, threshold: int = TOLL_VEHICLES, speed_limit: float = TOLL_SPEED,
          compat: str = "clean") -> Column:
     """FN-11: Linear Road toll ``2*(n - threshold)^2`` when ``n > threshold`` and the
     average speed is below ``speed_limit``, else 0.

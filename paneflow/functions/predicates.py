@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from paneflow.operators.windows import col_of
 
 # comparison operators of the reference predicate classes (fixed set)
-OPS = ("=", "!=", "<", ">=", ">", "<=")
 
 
 def compare(a, op: str, b) -> Column:

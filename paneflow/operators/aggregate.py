@@ -15,6 +15,7 @@ shuffle on the grouping keys).  Three operators go beyond a plain ``groupBy``:
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +28,11 @@ AGG_NAMES = ("MAX", "MIN", "CNT", "SUM", "AVG")
 
 
 def agg_type(name: str) -> str:
-    """Name → aggregation type; the first of avg, sum, cnt, min, max contained wins."""
-    s = name.lower()
-    for t in ("avg", "sum", "cnt", "min", "max"):
-        if t in s:
-            return t
-    raise ValueError(f"unknown aggregation type: {name!r}")
+    """Aggregation type of a name such as ``cnt``, ``AVG`` or ``sum(value)``."""
+    token = re.split(r"[^A-Za-z]+", name.strip(), maxsplit=1)[0].upper()
+    if token not in AGG_NAMES:
+        raise ValueError(f"unknown aggregation type: {name!r}")
+    return token.lower()
 
 
 def agg_column(kind: str, value: str | Column | None, alias: str | None = None) -> Column:

@@ -61,13 +61,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                   lower, upper, lts: str = "ts", rts: str = "ts",
                   lower_inclusive: bool = True, upper_inclusive: bool = False,
                   condition: Callable[[DataFrame, DataFrame], Column] | None = None,
-                  lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
+                  lprefix: str = "l_", rprefix: str = "r_", splits: int = 8) -> DataFrame:
     """JN-1 / JN-7: inner join with ``r.ts`` in ``[l.ts - lower, l.ts + upper)``.
 
     Bounds inclusive/exclusive as flagged (default ``[ , )``).  ``keys`` may be empty
     (pure theta join on time + ``condition``).  Columns of the two sides are
     prefixed (``l_`` / ``r_``); join keys appear once, unprefixed.
     Works on batch and on streaming frames (with watermarks on both sides).
+
+    Without keys the time bucket is the only hash key; a busy bucket is then cut into
+    ``splits`` parts by a hash of the left row, and the right rows go to all of them.
     """
     lo_us, hi_us = W.to_us(lower) if lower else 0, W.to_us(upper) if upper else 0
     width = max(lo_us + hi_us, 1)
@@ -82,12 +85,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     R = R.withColumn("_b", _bucket(W.micros(rt), width))
     L = L.withColumn("_b", F.explode(F.sequence(_bucket(lt_us - F.lit(lo_us), width),
                                                  _bucket(lt_us + F.lit(hi_us), width))))
+    hashed = ["_b"]
+    if not keys and splits > 1:
+        L = L.withColumn("_s", F.pmod(F.xxhash64(*[c for c in L.columns if c != "_b"]), F.lit(splits)).cast("int"))
+        R = R.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        hashed.append("_s")
     lo_t = lt - F.expr(f"INTERVAL {lo_us} MICROSECONDS")
     hi_t = lt + F.expr(f"INTERVAL {hi_us} MICROSECONDS")
     cond = (rt >= lo_t) if lower_inclusive else (rt > lo_t)
     cond = cond & ((rt <= hi_t) if upper_inclusive else (rt < hi_t))
     l_, r_ = L.alias("_l"), R.alias("_r")
-    eq = [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys + ["_b"]]
+    eq = [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys + hashed]
     full = eq[0]
     for e in eq[1:]:
         full = full & e
@@ -95,8 +103,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     extra = condition(L, R) if condition else F.lit(True)
     j = l_.join(r_, full & cond & extra, "inner")
     out = [F.col(f"_l.{k}").alias(k) for k in keys]
-    out += [F.col(f"_l.{c}") for c in L.columns if c not in keys and c != "_b"]
-    out += [F.col(f"_r.{c}") for c in R.columns if c not in keys and c != "_b"]
+    out += [F.col(f"_l.{c}") for c in L.columns if c not in keys + hashed]
+    out += [F.col(f"_r.{c}") for c in R.columns if c not in keys + hashed]
     return j.select(*out)
 
 

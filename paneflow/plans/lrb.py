@@ -32,6 +32,7 @@ from paneflow.plans.sqlviews import with_views
 from paneflow.sources import fixtures as X
 from paneflow.sources.tables import load
 
+# Window lengths of the road queries, in seconds.
 SPEED_WINDOW_S = 300
 VEHICLE_WINDOW_S = 60
 ACCIDENT_WINDOW_S, ACCIDENT_SLIDE_S = 120, 30

@@ -61,13 +61,3 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
-
-
-def us(expr: str) -> str:
-    """DuckDB: timestamp → epoch microseconds (bigint)."""
-    return f"epoch_us({expr})"
-
-
-def bucket(expr_us: str, size_us: int, slide_us: int | None = None, origin_us: int = 0) -> str:
-    """DuckDB: start of the tumbling bucket containing ``expr_us`` (µs), floor semantics."""
-    return f"(({expr_us} - {origin_us}) // {size_us}) * {size_us} + {origin_us}"

@@ -210,15 +210,11 @@ def fn_8(spark, d):
 @register("fn_4_word_tokenizer", SQL_TOKENS)
 def fn_4(spark, d):
     docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
-    ws = words("text")
+    ws = T.words("text")
     return docs.select("doc_id", F.size(ws).cast("long").alias("n_words"),
                        F.size(F.array_distinct(ws)).cast("long").alias("n_distinct"))
 
 
-def words(c):
-    return T.words(c)
-
-
 @register("fn_5_line_splitter", SQL_LINES)
 def fn_5(spark, d):
     docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
