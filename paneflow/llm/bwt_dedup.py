@@ -324,7 +324,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     ``docs`` has row and text (not null)."""
     ship(docs.sparkSession)
     every = stored(anchor_rows(docs))
-    again = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+    # counts are stored before they are joined: only a join of two plain shuffles can split a hot key
+    again = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"))
     rows = stored(every.join(again, "key"))
     found = []
     contexts = None
@@ -334,16 +335,14 @@ def repeated(docs: DataFrame) -> DataFrame:
         kinds = stored(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("row", "p")).alias("one"), F.first("lo").alias("lo"), F.first("hi").alias("hi")))
         copies = rows.join(kinds.where(F.col("m") > 1).select(*same), same)
         found.append(copies.where(F.col("row").isNotNull()).select("row", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo")).alias("b")))
-        groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        groups = stored(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
         open_kinds = kinds.join(groups, "key").select(*same, "n", (F.col("m") == 1).alias("alone"), F.col("one.row").alias("row"), F.col("one.p").alias("p"), "lo", "hi")
         if width is None:
-            sized = open_kinds.select("key", "n").distinct()
             contexts = fetch_contexts(docs, open_kinds)
         else:
             one = contexts.join(open_kinds.select(*same, "alone"), same)
             contexts = one.withColumn("row", F.when(F.col("alone"), F.col("row"))).dropDuplicates(same).select(*_names(CONTEXTS))
-            sized = open_kinds.select("key", "n").distinct()
-        contexts = stored(contexts.join(sized, "key").select(*_names(CONTEXTS), "n"))
+        contexts = stored(contexts.join(groups, "key").select(*_names(CONTEXTS), "n"))
         small = contexts.where(F.col("n") <= GROUP_ROWS)
         found.append(merge_groups(small))
         large = contexts.where(F.col("n") > GROUP_ROWS)
