@@ -284,7 +284,9 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
             # only buckets that still hold two classes; those of few members are done after turn 1
             m = m if turn == 1 else m.where(F.col("n") > FEW)
             split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            m = durable(m.join(split.where(F.col("lo") != F.col("hi")).select("bucket"), "bucket"))
+            # stored first: only a join of two plain shuffles can split a hot bucket
+            split = durable(split.where(F.col("lo") != F.col("hi")).select("bucket"))
+            m = durable(m.join(split, "bucket"))
             if m.isEmpty():
                 break
         rank = F.struct("company", "node", "label")
