@@ -219,17 +219,20 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
 
     The first documents of a range are also sent to the range before it (the very first to
     the last one) and sort to its end with ``guest`` = 1, so every document's successor is
-    at hand.  Cut points are ids of the table: n numbers at most.
+    at hand.  Cut points are ids of the table: n + 1 numbers at most.
     """
     lowest = -(2**63)
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(lowest)).alias("key"))
-    # approxQuantile goes through doubles; snapping to the next id present makes cuts exact
-    probes = sorted(set(keyed.select(F.col("key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(n)], 0.2 / n)))
-    if not probes:
-        cuts = np.array([lowest], np.int64)
-    else:
-        snapped = keyed.select("key").agg(F.min("key"), *[F.min(F.when(F.col("key") >= int(p), F.col("key"))) for p in probes]).first()
-        cuts = np.array(sorted({x for x in snapped if x is not None}), np.int64)
+    # approxQuantile goes through doubles: the smallest id in each of its intervals is the cut
+    probes = np.array(sorted({int(p) for p in keyed.select(F.col("key").cast("double").alias("k")).approxQuantile(
+        "k", [i / n for i in range(n)], 0.2 / n)}), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def interval(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(probes, key.to_numpy(), "right"))
+
+    firsts = keyed.select("key").groupBy(interval("key").alias("i")).agg(F.min("key").alias("k")).collect()
+    cuts = np.array(sorted(r["k"] for r in firsts) or [lowest], np.int64)
     ranges = len(cuts)
 
     @F.pandas_udf("long")
