@@ -16,6 +16,10 @@ of members that are still in different classes and were not tested.  No candidat
 untested unless its texts are in one class already, so classes are those of all pairs; groups
 of thousands of near copies cost a few tests per member.
 
+In large buckets a pair is not formed at all when the shingles that only one text has already
+rule it out (:func:`may_link`, an exact bound): copies that were edited too much to be similar
+to anything cost nothing.
+
 Verification is exact on the shingle bags (32-bit shingle hashes): a pair is linked when
 its Jaccard similarity or its probability Jaccard similarity is at least 0.8.
 
@@ -169,6 +173,46 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", node_key().alias("node"), F.col("text")).mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
 
+def unique_shares(bag_rows: DataFrame) -> DataFrame:
+    """(node, n, total, lone, lone_total): distinct shingles and occurrences of each bag, and
+    those of them on shingles that no other bag has.
+
+    A shingle is summed to (bags, one of them) before the shuffle; only shingles of one
+    bag go on, so a shingle that all copies share costs one row per task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                v, c = np.unique(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32), return_counts=True)
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(v), pa.binary()), pa.array(v.astype(np.int64)),
+                                                      pa.array(c.astype(np.int64)), pa.array(np.full(len(v), len(v), np.int64)),
+                                                      pa.array(np.full(len(v), c.sum(), np.int64))], names=["node", "shingle", "tf", "n", "total"])
+
+    rows = bag_rows.select("node", "bag").mapInArrow(run, "node binary, shingle long, tf long, n long, total long")
+    one = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("bags"), F.min(F.struct("node", "tf", "n", "total")).alias("o")).where(F.col("bags") == 1)
+    lone = one.groupBy("o.node").agg(F.count(F.lit(1)).alias("lone"), F.sum("o.tf").alias("lone_total"))
+    sizes = rows.select("node", "n", "total").groupBy("node").agg(F.max("n").alias("n"), F.max("total").alias("total"))
+    return sizes.join(lone, "node", "left").fillna(0, ["lone", "lone_total"])
+
+
+def may_link(least: float = SIMILARITY):
+    """Can a member and the pivot (columns ``s`` and ``t``: unique shares, or null) be similar?
+
+    Common shingles are in two bags, so a bag's lone shingles bound both similarities.  With
+    a = n - lone, Jaccard is at most min(a) / (n + n' - min(a)).  With C the share of a bag's
+    occurrences on other shingles and U = 1 - C, probability Jaccard is at most
+    C C' / (C' + U' C) and C C' / (C + U C').  The bounds are exact: they drop no link.
+    """
+    a = F.least(F.col("s.n") - F.col("s.lone"), F.col("t.n") - F.col("t.lone"))
+    jaccard = a / (F.col("s.n") + F.col("t.n") - a)
+    u, v = F.col("s.lone_total") / F.col("s.total"), F.col("t.lone_total") / F.col("t.total")
+    c, d = 1 - u, 1 - v
+    weighted = F.least(c * d / (d + v * c + 1e-12), c * d / (c + u * d + 1e-12))
+    return F.coalesce(F.greatest(jaccard, weighted) >= least - 1e-9, F.lit(True))
+
+
 def bags(docs: DataFrame) -> DataFrame:
     """(node, bag): the shingle bag as sorted 32-bit hashes."""
 
@@ -276,6 +320,10 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     bag_rows = durable(bags(docs.withColumn("node", node_key()).join(wanted.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
                             .select("node", "text")).dropDuplicates(["node"]))
+    # unique shares of the members of large buckets: what cannot be similar is never paired there
+    large = members.where(F.col("n") > FEW).select("node").distinct()
+    shares = unique_shares(bag_rows.join(large, "node")).select("node", F.struct("n", "total", "lone", "lone_total").alias("s"))
+    members = durable(members.join(shares, "node", "left"))
     links = tested = used = None
     for turn in range(4):
         m = members if links is None else members.join(_hubs(links), "node", "left")
@@ -289,21 +337,21 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
             m = durable(m.join(split, "bucket"))
             if m.isEmpty():
                 break
-        rank = F.struct("company", "node", "label")
-        top = lambda x: x.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("with"))
-        each = m.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with"))
+        rank = F.struct("company", "node", "label", "s")
+        top = lambda x: x.groupBy("bucket").agg(F.max(rank).alias("p")).select(
+            "bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("with"), F.col("p.s").alias("t"))
+        as_pivots = lambda x: x.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with"), F.col("s").alias("t"))
         if turn == 0:
             p = used = durable(top(m))
         elif turn == 1:  # large buckets: the most connected member outside the first pivot's class
-            old = used.select("bucket", "pivot").join(each, ["bucket", "pivot"]).select("bucket", F.col("with").alias("old"))
+            old = used.select("bucket", "pivot").join(as_pivots(m), ["bucket", "pivot"]).select("bucket", F.col("with").alias("old"))
             p = top(m.where(F.col("n") > FEW).join(old, "bucket").where(F.col("label") != F.col("old")))
-            p = p.union(m.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("with")))
+            p = p.union(as_pivots(m.where(F.col("n") <= FEW)))
         elif turn == 2:
-            p = m.where(F.pmod(F.xxhash64("node", F.lit(SEED % 1000)), F.col("n")) < RANDOM_PIVOTS).select(
-                "bucket", F.col("node").alias("pivot"), F.col("label").alias("with"))
+            p = as_pivots(m.where(F.pmod(F.xxhash64("node", F.lit(SEED % 1000)), F.col("n")) < RANDOM_PIVOTS))
         else:
-            p = each
-        pairs = (m.join(p, "bucket").where(F.col("label") != F.col("with"))
+            p = as_pivots(m)
+        pairs = (m.join(p, "bucket").where((F.col("label") != F.col("with")) & may_link())
                  .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
