@@ -42,15 +42,26 @@ SEED = 41
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def plain_word(x: str) -> bool:
+    """Lower-case Latin letters only: the tokenizer's normaliser and pattern keep it whole."""
+    return x.isalpha() and x.islower() and max(x) < "\u0250"
+
+
 class ChunkEncoder:
     """Ids of whole texts through a memo of blank-separated chunks."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task owns one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # the same vocabulary and merges for words that normalising and splitting leave as they are
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def forget(self) -> None:
@@ -60,9 +71,11 @@ class ChunkEncoder:
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks.  A Latin word with one closing mark is the word's ids and the
         mark's (the tokenizer's pattern always cuts between them), so the word is encoded once."""
-        split = {x: x[:-1] for x in chunks if x[-1:] in MARKS and (w := x[:-1]).isalpha() and w.islower() and max(w) < "\u0250"}
+        split = {x: x[:-1] for x in chunks if x[-1:] in MARKS and plain_word(x[:-1])}
         fresh = dict.fromkeys(x for x in (*split.values(), *MARKS, *(c for c in chunks if c not in split)) if x not in self.memo)
-        self._encode(list(fresh))
+        words = [x for x in fresh if plain_word(x)]
+        self._encode(words, self.words)
+        self._encode([x for x in fresh if not plain_word(x)], self.tokenizer)
         if split:
             word = np.fromiter((self.memo[w] for w in split.values()), np.int64, len(split))
             mark = np.fromiter((self.memo[x[-1]] for x in split), np.int64, len(split))
@@ -75,14 +88,14 @@ class ChunkEncoder:
         self.flat = np.concatenate([self.flat, flat])
         self.begin = np.cumsum(self.count) - self.count
 
-    def _encode(self, chunks: list[str]) -> None:
+    def _encode(self, chunks: list[str], tokenizer) -> None:
         """Through the tokenizer: many chunks per call, with a separator whose id no other chunk
         can give (the id stands for a piece that ends in the separator's own bytes)."""
         plain = [x for x in chunks if SEPARATOR not in x]
         odd = [x for x in chunks if SEPARATOR in x]
         (mark,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         lines = [plain[k:k + 256] for k in range(0, len(plain), 256)]
-        got = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(x) + f" {SEPARATOR}" for x in lines], add_special_tokens=False)
+        got = tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(x) + f" {SEPARATOR}" for x in lines], add_special_tokens=False)
         flat = np.concatenate([np.empty(0, np.uint32), *[np.array(x.ids, dtype=np.uint32) for x in got]])
         counts = np.diff(np.flatnonzero(flat == mark), prepend=-1) - 1
         rest = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in odd]
