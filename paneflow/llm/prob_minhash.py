@@ -47,6 +47,7 @@ SEED = 0x9E3779B97F4A7C15
 #: Buckets of few members are tested whole in the second round; larger ones against pivots,
 #: this many random ones in the third round; the fourth tests every pair that remains.
 FEW = 8
+CELLS = 64
 RANDOM_PIVOTS = 32
 
 U = np.uint64
@@ -174,8 +175,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def unique_shares(bag_rows: DataFrame) -> DataFrame:
-    """(node, n, total, lone, lone_total): distinct shingles and occurrences of each bag, and
-    those of them on shingles that no other bag has.
+    """(node, n, total, lone, lone_total, cells): distinct shingles and occurrences of each bag,
+    those of them on shingles that no other bag has, and the distinct shingles by hash cell.
 
     A shingle is summed to (bags, one of them) before the shuffle; only shingles of one
     bag go on, so a shingle that all copies share costs one row per task.
@@ -192,9 +193,16 @@ def unique_shares(bag_rows: DataFrame) -> DataFrame:
 
     rows = bag_rows.select("node", "bag").mapInArrow(run, "node binary, shingle long, tf long, n long, total long")
     one = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("bags"), F.min(F.struct("node", "tf", "n", "total")).alias("o")).where(F.col("bags") == 1)
+
+    def count_cells(batches):
+        for batch in batches:
+            found = [np.bincount(np.unique(np.frombuffer(x.as_buffer(), np.uint32)) % CELLS, minlength=CELLS).astype(np.int32) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "cells"])
+
+    cells = bag_rows.select("node", "bag").mapInArrow(count_cells, "node binary, cells array<int>")
     lone = one.groupBy("o.node").agg(F.count(F.lit(1)).alias("lone"), F.sum("o.tf").alias("lone_total"))
     sizes = rows.select("node", "n", "total").groupBy("node").agg(F.max("n").alias("n"), F.max("total").alias("total"))
-    return sizes.join(lone, "node", "left").fillna(0, ["lone", "lone_total"])
+    return sizes.join(lone, "node", "left").fillna(0, ["lone", "lone_total"]).join(cells, "node")
 
 
 def may_link(least: float = SIMILARITY):
@@ -203,14 +211,20 @@ def may_link(least: float = SIMILARITY):
     Common shingles are in two bags, so a bag's lone shingles bound both similarities.  With
     a = n - lone, Jaccard is at most min(a) / (n + n' - min(a)).  With C the share of a bag's
     occurrences on other shingles and U = 1 - C, probability Jaccard is at most
-    C C' / (C' + U' C) and C C' / (C + U C').  The bounds are exact: they drop no link.
+    C C' / (C' + U' C) and C C' / (C + U C').  Common shingles also fall in the same hash cells,
+    so the sum of the smaller cell counts bounds their number; where no shingle repeats in
+    either text both similarities are the Jaccard one and this bound holds for both.  The
+    bounds are exact: they drop no link.
     """
     a = F.least(F.col("s.n") - F.col("s.lone"), F.col("t.n") - F.col("t.lone"))
     jaccard = a / (F.col("s.n") + F.col("t.n") - a)
     u, v = F.col("s.lone_total") / F.col("s.total"), F.col("t.lone_total") / F.col("t.total")
     c, d = 1 - u, 1 - v
     weighted = F.least(c * d / (d + v * c + 1e-12), c * d / (c + u * d + 1e-12))
-    return F.coalesce(F.greatest(jaccard, weighted) >= least - 1e-9, F.lit(True))
+    shared = F.aggregate(F.zip_with("s.cells", "t.cells", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    plain = (F.col("s.n") == F.col("s.total")) & (F.col("t.n") == F.col("t.total"))
+    by_cell = F.when(plain, shared / (F.col("s.n") + F.col("t.n") - shared)).otherwise(1.0)
+    return F.coalesce((F.greatest(jaccard, weighted) >= least - 1e-9) & (by_cell >= least - 1e-9), F.lit(True))
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -322,7 +336,7 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
                             .select("node", "text")).dropDuplicates(["node"]))
     # unique shares of the members of large buckets: what cannot be similar is never paired there
     large = members.where(F.col("n") > FEW).select("node").distinct()
-    shares = unique_shares(bag_rows.join(large, "node")).select("node", F.struct("n", "total", "lone", "lone_total").alias("s"))
+    shares = unique_shares(bag_rows.join(large, "node")).select("node", F.struct("n", "total", "lone", "lone_total", "cells").alias("s"))
     members = durable(members.join(shares, "node", "left"))
     links = tested = used = None
     for turn in range(4):
