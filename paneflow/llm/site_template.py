@@ -44,7 +44,7 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in ("scrip
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp
 small span strike strong sub sup time tt u var wbr input button""".split())
-JUNK_TAGS = frozenset("""head script style noscript template nav footer aside form button select textarea input iframe
+JUNK_TAGS = frozenset("""head script style noscript template nav footer aside button select textarea input iframe
 svg canvas object embed dialog menu audio video map""".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 JUNK_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox adsense banner promo promotion promoted sponsor
@@ -52,6 +52,7 @@ sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs header masth
 widget widgets related recommended recommendations share sharing social comment comments commentlist reply replies respond
 discussion disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription
 signup login signin search searchbox form pagination pager paging skip toolbar legal copyright teaser teasers""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 TITLE_WORDS = frozenset(("header", "banner", "masthead"))  # fine inside an article: its own head
 #: An open <p> ends where one of these begins.
 ENDS_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5
@@ -60,6 +61,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset(("article", "main", "section", "body", "html", "table", "ul", "ol", "dl", "div", "td", "nav", "footer", "aside", "form"))
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr article main body html".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTENT_IDS = frozenset(("content", "main-content", "maincontent", "main", "article", "post", "entry", "story"))
 
 
@@ -162,13 +164,48 @@ class Page:
     def _zones(self) -> tuple[list[bool], list[bool]]:
         """For each element: lies it in an article; is it, or lies it in, an element that is never article text."""
         n = len(self.tag)
-        in_article, gone = [False] * n, [False] * n
+        in_article, gone, named = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p = self.parent[i]
             in_article[i] = in_article[p] or self.tag[p] in ("article", "main") and not gone[p]
             gone[i] = gone[p] or self._junk(i, in_article[i]) or self.tag[i] == "article" and in_article[p] and self._is_comment(i)
+            named[i] = not gone[i] and self._named_junk(i, in_article[i])
+        if any(named):
+            wrapper = self._wrappers(gone, named)
+            for i in range(1, n):
+                gone[i] = gone[i] or gone[self.parent[i]] or named[i] and not wrapper[i]
         return in_article, gone
 
+    def _wrappers(self, gone: list[bool], named: list[bool]) -> list[bool]:
+        """Elements that hold the article or half of the page's text: their class or role, or being
+        a form, says nothing about the text in them."""
+        n = len(self.tag)
+        size, article, main = [0] * n, [0] * n, [False] * n
+        for e, _, t in self.texts:
+            if not gone[e]:
+                size[e] += len(t.strip())
+        for i in range(n - 1, 0, -1):
+            if size[i] and not gone[i]:
+                p = self.parent[i]
+                size[p] += size[i]
+                main[i] = main[i] or self.tag[i] == "main" or self.attrs[i].get("role") == "main"
+                main[p] = main[p] or main[i]
+                article[i] = max(article[i], size[i] if self.tag[i] == "article" and not self._is_comment(i) else 0)
+                article[p] = max(article[p], article[i])
+        # what stands in no element that its name condemns, or only in such as hold half of the text
+        comments = [named[i] and bool(self._words(i) & COMMENT_WORDS) for i in range(n)]
+        large = [named[i] and 2 * size[i] >= size[0] for i in range(n)]
+        outside, likely, paragraphs, apart = [True] * n, [True] * n, 0, False
+        for i in range(1, n):
+            outside[i] = outside[self.parent[i]] and not gone[i] and not named[i]
+            likely[i] = likely[self.parent[i]] and not gone[i] and (not named[i] or large[i] and not comments[i])
+            apart = apart or outside[i] and size[i] > 0 and self.tag[i] in ("article", "main")
+            paragraphs += size[i] if likely[i] and self.tag[i] in PARAGRAPHS else 0
+        # teasers and comments hold articles too, or much text: they go beside more text in paragraphs
+        return [named[i] and (main[i] or article[i] > 0 and article[i] == article[0] and 2 * article[i] >= paragraphs
+                              or large[i] and not apart and not (paragraphs and comments[i]))
+                for i in range(n)]
+
     def _deletable(self, i: int, in_article: bool) -> bool:
         """May the subtree go as template?  Paragraphs and headings of the article stay."""
         return self.tag[i] not in INLINE and self.tag[i] not in ("article", "main") and not (in_article and self.tag[i] in TEXT_BLOCKS)
@@ -179,12 +216,23 @@ class Page:
             return True
         if not attrs or tag in ("html", "body", "article", "main"):
             return False
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+    def _named_junk(self, i: int, in_article: bool) -> bool:
+        """Do the element's role, class or id, or its being a form, make it no article text, unless it is a wrapper?"""
+        tag, attrs = self.tag[i], self.attrs[i]
+        if tag == "form":
             return True
+        if not attrs or tag in ("html", "body", "article", "main"):
+            return False
         if attrs.get("role", "").lower() in JUNK_ROLES:
             return True
-        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-        return bool(words & (JUNK_WORDS - TITLE_WORDS if in_article else JUNK_WORDS))
+        return bool(self._words(i) & (JUNK_WORDS - TITLE_WORDS if in_article else JUNK_WORDS))
+
+    def _words(self, i: int) -> set[str]:
+        """The words of class and id."""
+        attrs = self.attrs[i]
+        return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
 
     def text(self, template: set[int]) -> str:
         """The main text, without the subtrees in ``template``."""

@@ -42,3 +42,19 @@ def test_markup():
     <div class="ad">buy</div><form><p>mail</p></form><script>var x="</article>";</script><section class="comments"><p>bad</p></section>
     </article></main><footer>f</footer>"""
     assert Page(t).text(set()) == "Title & more\n\nOne two three four\n\nSix — x\n\na\n\nb"
+
+
+def test_wrappers_keep_the_article():
+    body = "<h1>Title</h1><p>" + "one two three " * 20 + "</p><p>four five six</p>"
+    want = "\n\n".join(["Title", ("one two three " * 20).strip(), "four five six"])
+    side = "<div class='sidebar'><p>side text</p></div><form><p>mail us</p></form>"
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class=post>{body}</div>", f"<div role=main>{body}</div>"):
+        for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<form id='aspnetForm'>{}</form>",
+                     "<div role='search'>{}</div>", "<div class='page-header'><form class='has-comments'>{}</form></div>"):
+            assert Page("<html><body>" + wrap.format(inner + side) + "</body></html>").text(set()) == want, (inner, wrap)
+    # the largest article is the page's, teasers and reader comments are not, however long
+    teasers = "<div class='related'><article><p>teaser one</p></article><article><p>teaser two</p></article></div>"
+    comments = "<section class='comments'>" + "<p>I think so too.</p>" * 60 + "</section>"
+    for inner in (f"<article>{body}</article>", f"<div class=post>{body}</div>"):
+        assert Page(f"<body><div class='has-sidebar'>{inner}</div>{teasers}</body>").text(set()) == want
+        assert Page(f"<body>{inner}{teasers}{comments}</body>").text(set()) == want
