@@ -2,9 +2,9 @@
 
 1. Every page is parsed in its task; each element subtree that holds text gets a hash of its
    tag, text and children.  A page sends each of its hashes once.
-2. Spark counts, per host, the pages that hold a subtree (partial sums before the shuffle, so
-   a host with a third of all pages costs one row per task and subtree).  Subtrees on many
-   pages of their host are its template.
+2. Spark counts, per host, the distinct page bodies (the text of the article, or of the
+   containers with most paragraphs) that a subtree stands with, so copies of a page count
+   once.  Subtrees with many bodies of their host are its template.
 3. The template hashes of each page are joined back to it, the page is parsed again, and these
    subtrees are deleted, along with elements that are never article text by their tag, role or
    class (menus, forms, scripts, notices, adverts, reader comments ...).
@@ -12,10 +12,11 @@
    references decoded, white space folded to one blank, joined by an empty line.
 
 A subtree is never deleted as template when it holds half of the page's text or more, or is a
-paragraph or heading of the article itself: copies of an article on one host stay.
+paragraph or heading of the article itself; copies of an article are one body and no evidence
+of a template: they stay whole.
 
 Defined results: a null or empty page has the empty text; a page without a host (null or
-relative address) belongs to the host ''; repeated rows each count as a page and get the
+relative address) belongs to the host ''; repeated rows count as one page and get the
 same text; an unclosed tag, comment or script reaches to the end of its parent or of the page.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -65,6 +67,10 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTENT_IDS = frozenset(("content", "main-content", "maincontent", "main", "article", "post", "entry", "story"))
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Page:
     """Elements in document order (``parent[i] < i``) and texts with their block number."""
 
@@ -87,7 +93,7 @@ class Page:
         def pop() -> None:
             i = stack.pop()
             x = xxhash.xxh3_64_intdigest(self.tag[i].encode("utf-8", "surrogatepass") + b"\0" + b"\0".join(parts[i]))
-            self.digest[i] = x - (1 << 64) if x >> 63 else x
+            self.digest[i] = signed(x)
             parts[i] = []
             p = self.parent[i]
             self.size[p] += self.size[i]
@@ -155,11 +161,75 @@ class Page:
         while len(stack) > 1:
             pop()
 
-    def subtrees(self) -> set[int]:
-        """Hashes of the subtrees that hold text and may be template: what is never article
-        text, or always, need not be counted."""
+    def subtrees(self) -> tuple[int, set[tuple[int, int]]]:
+        """Hash of the page's body, and (hash of a subtree, hash of the body as seen from it) of the
+        subtrees that hold text and may be template: what is never article text, or always,
+        need not be counted."""
+        n = len(self.tag)
         in_article, gone = self._zones()
-        return {self.digest[i] for i in range(1, len(self.tag)) if self.size[i] and not gone[i] and self._deletable(i, in_article[i])}
+        bodies = self._bodies(gone)
+        holds: dict[int, set[int]] = {}  # the containers in a subtree
+        for c in bodies:
+            i = c
+            while i >= 0:
+                holds.setdefault(i, set()).add(c)
+                i = self.parent[i]
+        seen = {of: signed(xxhash.xxh3_64_intdigest("\0".join(bodies[c] for c in of).encode("utf-8", "surrogatepass")))
+                for of in {tuple(bodies)} | {(c,) for c in bodies}}
+        found, inside = set(), [0] * n  # the nearest container around the element
+        for i in range(1, n):
+            p = self.parent[i]
+            inside[i] = p if p in bodies else inside[p]
+            if not self.size[i] or gone[i] or not self._deletable(i, in_article[i]):
+                continue
+            # a part of a container is seen with it, other subtrees with the containers they do not hold
+            of = (inside[i],) if inside[i] else tuple(c for c in bodies if c not in holds.get(i, ())) or tuple(bodies)
+            if of not in seen:
+                seen[of] = signed(xxhash.xxh3_64_intdigest("\0".join(bodies[c] for c in of).encode("utf-8", "surrogatepass")))
+            found.add((self.digest[i], seen[of]))
+        return seen[tuple(bodies)], found
+
+    def _bodies(self, gone: list[bool]) -> dict[int, str]:
+        """The containers that tell a page's content from that of other pages, and their text: its
+        articles, else the parents of a quarter of the text in paragraphs, else the page.  Only
+        paragraphs and headings count, if there are any: copies stay equal whatever else changes."""
+        n = len(self.tag)
+        live = [i for i in range(1, n) if not gone[i] and self.size[i]]
+        roots: list[int] = []
+        for fits in CONTAINERS:
+            if roots := self._outermost([i for i in live if fits(self, i)]):
+                break
+        marked = bool(roots)
+        if not marked:
+            own: dict[int, int] = {}
+            for i in live:
+                if self.tag[i] in PARAGRAPHS:
+                    own[self.parent[i]] = own.get(self.parent[i], 0) + self.size[i]
+            roots = sorted(i for i, x in own.items() if 4 * x >= sum(own.values())) or [0]
+        known = set(roots)
+        around, prose = [0 if 0 in known else -1] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            heads = self.tag[i] in PARAGRAPHS and (marked or p in known)
+            prose[i] = prose[p] or heads
+            around[i] = i if marked and i in known else p if heads and not marked else around[p]
+        texts: dict[int, list[str]] = {c: [] for c in roots}
+        rest: dict[int, list[str]] = {c: [] for c in roots}
+        for e, _, t in self.texts:
+            if not gone[e] and around[e] in known:
+                (texts if prose[e] else rest)[around[e]].append(t)
+        return {c: " ".join("".join(texts[c] or rest[c]).split()) for c in roots}
+
+    def _outermost(self, found: list[int]) -> list[int]:
+        """The elements of ``found`` that lie in no other one of it."""
+        known, out = set(found), []
+        for i in found:
+            p = self.parent[i]
+            while p >= 0 and p not in known:
+                p = self.parent[p]
+            if p < 0:
+                out.append(i)
+        return out
 
     def _zones(self) -> tuple[list[bool], list[bool]]:
         """For each element: lies it in an article; is it, or lies it in, an element that is never article text."""
@@ -268,11 +338,8 @@ class Page:
         """The article: <article>, else <main> or an element named so, else the parent of most paragraphs."""
         n = len(self.tag)
         live = [i for i in range(1, n) if not gone[i] and left[i]]
-        for fits in (lambda i: self.tag[i] == "article",
-                     lambda i: self.attrs[i].get("itemprop") == "articleBody",
-                     lambda i: self.tag[i] == "main" or self.attrs[i].get("role") == "main",
-                     lambda i: self.attrs[i].get("id", "").lower() in CONTENT_IDS):
-            if found := [i for i in live if fits(i)]:
+        for fits in CONTAINERS:
+            if found := [i for i in live if fits(self, i)]:
                 return max(found, key=lambda i: (left[i], -i))
         own: dict[int, int] = {}
         for i in live:
@@ -285,24 +352,35 @@ class Page:
         return 0
 
 
+#: What marks the article, the best mark first.
+CONTAINERS = (lambda page, i: page.tag[i] == "article" and not page._is_comment(i),
+              lambda page, i: page.attrs[i].get("itemprop") == "articleBody",
+              lambda page, i: page.tag[i] == "main" or page.attrs[i].get("role") == "main",
+              lambda page, i: page.attrs[i].get("id", "").lower() in CONTENT_IDS)
+
+
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """(row_key, host, subtree) once per page and subtree; ``pages`` has row_key, host, html."""
+    """(row_key, host, body, subtrees, bodies), a row for each page: the hash of its body, those of
+    its subtrees and of the body as each of them sees it; ``pages`` has row_key, host, html."""
     ship(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch, 2):
-                rows = [(k, h, d) for k, h, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2)), strict=True)
-                        for d in Page(x).subtrees()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["row_key", "host", "subtree"])
+                body, found = zip(*[Page(x).subtrees() for x in texts_of(part.column(2))], strict=True)
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array([x[k] for f in found for x in f], pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(body, pa.int64()), *lists],
+                                                 names=["row_key", "host", "body", "subtrees", "bodies"])
 
-    return pages.select("row_key", "host", "html").mapInArrow(run, "row_key long, host long, subtree long")
+    return pages.select("row_key", "host", "html").mapInArrow(run, "row_key long, host long, body long, subtrees array<long>, bodies array<long>")
 
 
 def templates(rows: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) that recur on many pages of the host; ``hosts`` has (host, pages)."""
-    counts = rows.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    """(host, subtree) that recur with many bodies; ``rows`` has (host, subtree, body) and
+    ``hosts`` (host, pages), the distinct bodies of the host.  Copies of a page count once."""
+    counts = (rows.select("host", "subtree", "body").distinct()
+              .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
     return counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
 
 
@@ -313,9 +391,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
                          F.xxhash64(url, html, *[F.col(f"`{c}`") for c in keep]).alias("row_key"), F.xxhash64(host).alias("host"))
-    rows = durable(subtree_rows(keyed))
-    hosts = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    hits = (rows.join(templates(rows, hosts), ["host", "subtree"])
+    seen = durable(subtree_rows(keyed))
+    rows = (seen.select("row_key", "host", F.explode(F.arrays_zip("subtrees", "bodies")).alias("x"))
+            .select("row_key", "host", F.col("x.subtrees").alias("subtree"), F.col("x.bodies").alias("body")))
+    hosts = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hits = (rows.select("row_key", "host", "subtree").join(templates(rows, hosts), ["host", "subtree"])
             .groupBy(F.col("row_key").alias("hit_key")).agg(F.collect_set("subtree").alias("template")))
     joined = keyed.join(hits.hint("shuffle_hash"), F.col("row_key") == F.col("hit_key"), "left").select("row", "html", "template")
 

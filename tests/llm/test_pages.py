@@ -58,3 +58,26 @@ def test_wrappers_keep_the_article():
     for inner in (f"<article>{body}</article>", f"<div class=post>{body}</div>"):
         assert Page(f"<body><div class='has-sidebar'>{inner}</div>{teasers}</body>").text(set()) == want
         assert Page(f"<body>{inner}{teasers}{comments}</body>").text(set()) == want
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in site_template.digest(df).collect()}
+
+
+def test_copies_stay_whole(spark):
+    part = [f"part {k} " * 6 for k in range(4)]
+    plain = "<h2>Head</h2>" + "".join(f"<p>{t}</p>" for t in part)
+    listed = f"<h2>Head</h2><ul><li>{part[0]}</li></ul><table><tr><td>{part[1]}</td></tr></table><div>{part[2]}</div><section>{part[3]}</section>"
+    want = "\n\n".join(["Head", *(t.strip() for t in part)])
+    box = "<div class='x7'><p>Join our club today and call us now or later</p><p>Call now</p></div>"
+    link = "<div class='x8'><a href='/'>Home</a> of us</div>"
+    rows = [(k, f"https://copy.example/{k}", f"<body><div class=z>{plain}</div></body>") for k in range(9)]
+    rows += [(100 + k, f"https://copy2.example/{k}", f"<body>{link}<article>{listed}</article></body>") for k in range(9)]
+    # copies among other pages with the same template
+    page = "<body>" + link + box + "<div class=z>{}</div></body>"
+    rows += [(200 + k, f"https://both.example/{k}", page.format(plain)) for k in range(9)]
+    rows += [(300 + k, f"https://both.example/x{k}", page.format(f"<h2>Head {k}</h2><p>{f'own text {k} ' * 9}</p>")) for k in range(9)]
+    got = texts(spark, rows)
+    assert {got[i] for i, *_ in rows if i < 300} == {want}
+    assert all(got[300 + k] == f"Head {k}\n\n" + (f"own text {k} " * 9).strip() for k in range(9))
