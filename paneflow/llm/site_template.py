@@ -234,12 +234,14 @@ class Page:
     def _zones(self) -> tuple[list[bool], list[bool]]:
         """For each element: lies it in an article; is it, or lies it in, an element that is never article text."""
         n = len(self.tag)
-        in_article, gone, named = [False] * n, [False] * n, [False] * n
+        in_article, gone, named, nested = [False] * n, [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p = self.parent[i]
             in_article[i] = in_article[p] or self.tag[p] in ("article", "main") and not gone[p]
-            gone[i] = gone[p] or self._junk(i, in_article[i]) or self.tag[i] == "article" and in_article[p] and self._is_comment(i)
-            named[i] = not gone[i] and self._named_junk(i, in_article[i])
+            comment = self.tag[i] == "article" and self._is_comment(i)
+            nested[i] = nested[p] or self.tag[p] == "article"
+            gone[i] = gone[p] or self._junk(i, in_article[i]) or nested[i] and comment
+            named[i] = not gone[i] and (comment or self._named_junk(i, in_article[i]))
         if any(named):
             wrapper = self._wrappers(gone, named)
             for i in range(1, n):
@@ -265,17 +267,26 @@ class Page:
         # what stands in no element that its name condemns, or only in such as hold half of the text
         comments = [named[i] and bool(self._words(i) & COMMENT_WORDS) for i in range(n)]
         large = [named[i] and 2 * size[i] >= size[0] for i in range(n)]
-        outside, likely, paragraphs, apart = [True] * n, [True] * n, 0, False
+        outside, likely, paragraphs, others = [True] * n, [True] * n, 0, set()
         for i in range(1, n):
             outside[i] = outside[self.parent[i]] and not gone[i] and not named[i]
             likely[i] = likely[self.parent[i]] and not gone[i] and (not named[i] or large[i] and not comments[i])
-            apart = apart or outside[i] and size[i] > 0 and self.tag[i] in ("article", "main")
+            if outside[i] and size[i] and self.tag[i] in ("article", "main"):
+                others.add(i)
             paragraphs += size[i] if likely[i] and self.tag[i] in PARAGRAPHS else 0
         # teasers and comments hold articles too, or much text: they go beside more text in paragraphs
         return [named[i] and (main[i] or article[i] > 0 and article[i] == article[0] and 2 * article[i] >= paragraphs
-                              or large[i] and not apart and not (paragraphs and comments[i]))
+                              or large[i] and not others - self._above(i) and not (paragraphs and comments[i] and self.tag[i] != "article"))
                 for i in range(n)]
 
+    def _above(self, i: int) -> set[int]:
+        """The elements around an element."""
+        out = set()
+        while i > 0:
+            i = self.parent[i]
+            out.add(i)
+        return out
+
     def _deletable(self, i: int, in_article: bool) -> bool:
         """May the subtree go as template?  Paragraphs and headings of the article stay."""
         return self.tag[i] not in INLINE and self.tag[i] not in ("article", "main") and not (in_article and self.tag[i] in TEXT_BLOCKS)
@@ -319,11 +330,11 @@ class Page:
             for i in range(1, n):
                 gone[i] = gone[i] or gone[self.parent[i]] or (
                     self.digest[i] in template and left[i] < half and self._deletable(i, in_article[i]))
-        root = self._container(left, gone)
         inside = [False] * n
-        inside[root] = True
-        for i in range(root + 1, n):
-            inside[i] = inside[self.parent[i]]
+        for root in self._container(left, gone):
+            inside[root] = True
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[self.parent[i]]
         found: dict[int, list[str]] = {}
         for e, b, t in self.texts:
             if inside[e] and not gone[e]:
@@ -334,26 +345,30 @@ class Page:
         words = f"{self.attrs[i].get('class', '')} {self.attrs[i].get('id', '')}".lower()
         return "comment" in words or "reply" in words
 
-    def _container(self, left: list[int], gone: list[bool]) -> int:
-        """The article: <article>, else <main> or an element named so, else the parent of most paragraphs."""
+    def _container(self, left: list[int], gone: list[bool]) -> list[int]:
+        """The article: every outermost <article>, else <main> or elements named so, else the
+        smallest element that holds all paragraphs, headings and text outside links."""
         n = len(self.tag)
         live = [i for i in range(1, n) if not gone[i] and left[i]]
         for fits in CONTAINERS:
-            if found := [i for i in live if fits(self, i)]:
-                return max(found, key=lambda i: (left[i], -i))
-        own: dict[int, int] = {}
-        for i in live:
-            if self.tag[i] == "p":
-                own[self.parent[i]] = own.get(self.parent[i], 0) + left[i]
-        if own:
-            best = max(own, key=lambda i: (own[i], -i))
-            if 2 * own[best] >= sum(own.values()):
-                return best
-        return 0
+            if found := self._outermost([i for i in live if fits(self, i)]):
+                return found
+        link, wanted = [False] * n, {i for i in live if self.tag[i] in PARAGRAPHS}
+        for i in range(1, n):
+            link[i] = link[self.parent[i]] or self.tag[i] == "a"
+        wanted |= {e for e, _, t in self.texts if not gone[e] and not link[e] and any(map(str.isalnum, t))}
+        count = [int(i in wanted) for i in range(n)]  # how many of them lie at or below the element
+        for i in range(n - 1, 0, -1):
+            count[self.parent[i]] += count[i]
+        # such elements lie in one another: the last is the smallest
+        root = max((i for i in range(n) if wanted and count[i] == len(wanted)), default=0)
+        while root and self.tag[root] in INLINE | PARAGRAPHS:
+            root = self.parent[root]
+        return [root]
 
 
 #: What marks the article, the best mark first.
-CONTAINERS = (lambda page, i: page.tag[i] == "article" and not page._is_comment(i),
+CONTAINERS = (lambda page, i: page.tag[i] == "article",
               lambda page, i: page.attrs[i].get("itemprop") == "articleBody",
               lambda page, i: page.tag[i] == "main" or page.attrs[i].get("role") == "main",
               lambda page, i: page.attrs[i].get("id", "").lower() in CONTENT_IDS)

@@ -81,3 +81,22 @@ def test_copies_stay_whole(spark):
     got = texts(spark, rows)
     assert {got[i] for i, *_ in rows if i < 300} == {want}
     assert all(got[300 + k] == f"Head {k}\n\n" + (f"own text {k} " * 9).strip() for k in range(9))
+
+
+def test_all_of_the_article_is_kept():
+    a, b = "first half of it " * 12, "second half of it " * 8
+    whole = f"Title\n\n{a.strip()}\n\n{b.strip()}"
+    menu = "<div class=x1><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul></div>"
+    assert Page(f"<body>{menu}<div><h1>Title</h1><div><p>{a}</p></div><div><p>{b}</p></div></div></body>").text(set()) == whole
+    assert Page(f"<body>{menu}<div><h1>Title</h1><div><p>{a}</p></div>{b}</div></body>").text(set()) == whole
+    assert Page(f"<body>{menu}<div><h1>Title</h1><div><p>{a}</p></div><ul><li>{b}</li></ul></div></body>").text(set()) == whole
+    parts = f"<article><h1>Title</h1><p>{a}</p></article><article class='reply'><p>no</p></article><div><article><p>{b}</p></article></div>"
+    assert Page(f"<body>{menu}{parts}</body>").text(set()) == whole
+    assert Page("<body><p>a <b>b</b></p></body>").text(set()) == "a b"
+    # an article of comments alone is not the page's, one that is open to comments is
+    assert Page(f"<body><div><h1>Title</h1><p>{a}</p><p>{b}</p></div><article id='comment-1'><p>no</p></article></body>").text(set()) == whole
+    inner = f"<div class='has-sidebar'><div class=y><h1>Title</h1><p>{a}</p><p>{b}</p></div><div class='comments'><p>no</p></div></div>"
+    assert Page(f"<body>{menu}<main>{inner}</main></body>").text(set()) == whole
+    assert Page(f"<body>{menu}<main><div><article class='post comments-open'>{inner}</article></div></main></body>").text(set()) == whole
+    assert Page(f"<body><article>{inner}<article class='comment'><p>{a * 9}</p></article></article></body>").text(set()) == whole
+    assert Page(f"<body>{menu}<p>side</p><article class='post comments-open'><h1>Title</h1><p>{a}</p><p>{b}</p></article></body>").text(set()) == whole
