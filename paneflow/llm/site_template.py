@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from paneflow.llm.common import blocks, durable, ship, texts_of
 
-MIN_PAGES = 5       # a template subtree is on so many pages of its host at least ...
-MIN_SHARE = 0.1     # ... and on this share of them
+MIN_PAGES = 5       # a template subtree stands with so many bodies of its host at least ...
+MIN_SHARE = 0.1     # ... and with this share of them,
+ENOUGH_PAGES = 50   # or with so many, however large the host
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -391,12 +392,13 @@ def subtree_rows(pages: DataFrame) -> DataFrame:
     return pages.select("row_key", "host", "html").mapInArrow(run, "row_key long, host long, body long, subtrees array<long>, bodies array<long>")
 
 
-def templates(rows: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(rows: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              enough: int = ENOUGH_PAGES) -> DataFrame:
     """(host, subtree) that recur with many bodies; ``rows`` has (host, subtree, body) and
     ``hosts`` (host, pages), the distinct bodies of the host.  Copies of a page count once."""
     counts = (rows.select("host", "subtree", "body").distinct()
               .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    return counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    return counts.join(hosts, "host").where((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= enough)).select("host", "subtree")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:

@@ -100,3 +100,10 @@ def test_all_of_the_article_is_kept():
     assert Page(f"<body>{menu}<main><div><article class='post comments-open'>{inner}</article></div></main></body>").text(set()) == whole
     assert Page(f"<body><article>{inner}<article class='comment'><p>{a * 9}</p></article></article></body>").text(set()) == whole
     assert Page(f"<body>{menu}<p>side</p><article class='post comments-open'><h1>Title</h1><p>{a}</p><p>{b}</p></article></body>").text(set()) == whole
+
+
+def test_template_of_one_section_of_a_large_host(spark):
+    box = "<div class='x7'><p>Join our club today</p></div>"
+    rows = [(k, f"https://large.example/{k}", f"<body>{box if k < 55 else ''}<div class=z><p>{f'own text {k} ' * 9}</p></div></body>") for k in range(600)]
+    got = texts(spark, rows)
+    assert all(got[k] == (f"own text {k} " * 9).strip() for k in range(600))
