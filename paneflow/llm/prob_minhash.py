@@ -5,7 +5,8 @@ shingle is a Poisson process whose rate is its weight; each arrival falls on a r
 register, and a register keeps the shingle that arrived first.  A shingle stops as soon as its next
 arrival is later than the latest first arrival of the sketch, so long texts cost about one
 arrival per shingle.  Two texts agree in a register with the probability
-Jaccard similarity of their weighted bags.
+Jaccard similarity of their weighted bags.  Texts that repeat a shingle have a second sketch with
+all weights 1: there they agree with the plain Jaccard similarity.
 
 Classes.  Equal texts are one node (its md5), so groups of copies collapse before anything
 else.  Each band of registers is a bucket key; texts of one bucket are candidates.  Instead
@@ -127,6 +128,26 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bucket_keys(doc: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text number of each, ascending): the band keys of the bags weighted by shingle counts and, for
+    texts that repeat a shingle, those of the same process with all weights 1.  Without repeats
+    the two are the same keys, so texts of either kind meet in the buckets of both."""
+    some = np.flatnonzero(np.bincount(doc, minlength=n))
+    keys = band_keys(sketch(doc, shingle, n))[some]
+    again = np.zeros(len(doc), bool)
+    again[1:] = (doc[1:] == doc[:-1]) & (shingle[1:] == shingle[:-1])
+    uneven = np.unique(doc[again])
+    once = ~again & np.isin(doc, uneven)
+    plain = band_keys(sketch(np.searchsorted(uneven, doc[once]), shingle[once], len(uneven))) if len(uneven) else keys[:0]
+    of = np.concatenate([np.repeat(some, BANDS), np.repeat(uneven, BANDS)])
+    every = np.concatenate([keys.ravel(), plain.ravel()])
+    order = np.lexsort((every, of))
+    of, every = of[order], every[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (every[1:] != every[:-1])
+    return every[new], of[new]
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Exact test of two shingle bags (sorted 32-bit hashes, repeated as often as they occur)."""
     u, x = np.unique(a, return_counts=True)
@@ -164,11 +185,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             for big in blocks(batch, 2):
                 for k in range(0, len(big), 4096):  # the text number has 12 bits in the sort key
                     part = big.slice(k, 4096)
-                    doc, shingle = shingles(part.column(2))
-                    keys = band_keys(sketch(doc, shingle, len(part)))
-                    some = np.bincount(doc, minlength=len(part)) > 0
-                    ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-                    bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
+                    keys, of = bucket_keys(*shingles(part.column(2)), len(part))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part)))]).astype(np.int32)
+                    bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands], names=["doc_id", "node", "bands"])
 
     return docs.select("doc_id", node_key().alias("node"), F.col("text")).mapInArrow(run, "doc_id long, node binary, bands array<long>")
@@ -212,9 +231,9 @@ def may_link(least: float = SIMILARITY):
     a = n - lone, Jaccard is at most min(a) / (n + n' - min(a)).  With C the share of a bag's
     occurrences on other shingles and U = 1 - C, probability Jaccard is at most
     C C' / (C' + U' C) and C C' / (C + U C').  Common shingles also fall in the same hash cells,
-    so the sum of the smaller cell counts bounds their number; where no shingle repeats in
-    either text both similarities are the Jaccard one and this bound holds for both.  The
-    bounds are exact: they drop no link.
+    so the sum of the smaller cell counts bounds their number and the Jaccard similarity; where no
+    shingle repeats in either text both similarities are the Jaccard one and this bound holds
+    for both.  The bounds are exact: they drop no link.
     """
     a = F.least(F.col("s.n") - F.col("s.lone"), F.col("t.n") - F.col("t.lone"))
     jaccard = a / (F.col("s.n") + F.col("t.n") - a)
@@ -223,8 +242,9 @@ def may_link(least: float = SIMILARITY):
     weighted = F.least(c * d / (d + v * c + 1e-12), c * d / (c + u * d + 1e-12))
     shared = F.aggregate(F.zip_with("s.cells", "t.cells", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     plain = (F.col("s.n") == F.col("s.total")) & (F.col("t.n") == F.col("t.total"))
-    by_cell = F.when(plain, shared / (F.col("s.n") + F.col("t.n") - shared)).otherwise(1.0)
-    return F.coalesce((F.greatest(jaccard, weighted) >= least - 1e-9) & (by_cell >= least - 1e-9), F.lit(True))
+    by_cell = shared / (F.col("s.n") + F.col("t.n") - shared)
+    bound = F.greatest(F.least(jaccard, by_cell), F.when(plain, F.least(weighted, by_cell)).otherwise(weighted))
+    return F.coalesce(bound >= least - 1e-9, F.lit(True))
 
 
 def bags(docs: DataFrame) -> DataFrame:

@@ -330,6 +330,21 @@ def test_classes(spark, docs_sf):
     assert got == brute_classes(rows)
 
 
+def test_pairs_with_unequal_repeats(spark):
+    from .conftest import prose
+    rows = []
+    for k in range(24):  # Jaccard similarity 0.8 or more, the tail of one copy many times
+        words = prose(900 + k, 60).split()
+        tail, times = (words[-15:], 10) if k % 2 else (words[-8:], 20)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + tail * (times - 1)))]
+    other = prose(950, 60).split()  # both repeat, unequally
+    rows += [(100, " ".join(other + other[:12] * 9)), (101, " ".join(other + other[:12] * 2))]
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want.items()) >= 20
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_keep_one(odd_docs):
     out = prob_minhash.keep_one(odd_docs)
     assert out.columns == odd_docs.columns
