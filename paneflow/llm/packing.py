@@ -55,10 +55,10 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task owns one core
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens are found in the raw text, before it is lower-cased and cut, across blanks too
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         # the same vocabulary and merges for words that normalising and splitting leave as they are
         self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -102,9 +102,25 @@ class ChunkEncoder:
         self._add(plain + odd, np.concatenate([flat[flat != mark], *rest]), np.concatenate([counts, np.array([len(x) for x in rest], np.int64)]))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text, without special tokens.  The tokenizer lower-cases, so A-Z are
-        lowered before the distinct chunks are looked up."""
-        cut = pc.split_pattern(pc.ascii_lower(pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")), " ")
+        """Ids of each text as the tokenizer gives them, without special tokens around it.  The
+        tokenizer lower-cases, so A-Z are lowered before the distinct chunks are looked up; texts
+        that hold an added token are encoded whole."""
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        whole = np.zeros(len(texts), bool)
+        for x in self.added:
+            whole |= pc.match_substring(low, x).to_numpy(zero_copy_only=False)
+        if whole.any():
+            at = np.flatnonzero(whole)
+            got = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in at], add_special_tokens=False)
+            ids = self._chunked(pc.if_else(pa.array(whole), "", low))
+            for i, x in zip(at, got, strict=True):
+                ids[i] = np.array(x.ids, np.uint32)
+            return ids
+        return self._chunked(low)
+
+    def _chunked(self, low: pa.Array) -> list[np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         each = cut.flatten().dictionary_encode()
         distinct = each.dictionary.to_pylist()
         if len(self.memo) + len(distinct) > MEMO_CHUNKS:

@@ -175,6 +175,17 @@ def test_packing(docs_sf, odd_docs):
         assert len(used) <= -(-total // 4096) + max(2, total // 4096 // 20)
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(WORDS)
+    texts = ["end <|endoftext|> here", "<|startoftext|>A b", "x<|endoftext|>\n<|endoftext|>", "End <|EndOfText|> here", "<|endoftext| > plain", "Plain words", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 49407 in want[0]
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.packed(df, WORDS).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_best_fit_takes_the_tightest_window():
     where, offset = packing.best_fit_decreasing(np.array([60, 50, 40, 45, 5, 100]), 100)
     assert where.tolist() == [1, 2, 1, 2, 2, 0] and offset.tolist() == [0, 0, 60, 50, 95, 0]
