@@ -13,9 +13,10 @@ them stands for all.
 Merge.  What is left are groups of different contexts around one k-gram.  Each task takes
 whole groups and cuts them into shards.  A shard's suffixes (the contexts from the anchor on) are
 sorted alone.  The shards are merged by iterative interleave refinement: the interleave
-starts as shard after shard, and each pass splits its open intervals by the next symbol while
-every shard keeps its own order; the pass at which two neighbours part gives their
-common prefix, so no suffix is sorted again.  From the merged transform, the bytes before the
+starts as shard after shard, and each pass sorts the rows of its open intervals by the next
+eight bytes of the suffixes; the pass at which two neighbours part gives their common
+prefix.  That is a radix sort of all suffixes, which would give the same order without the
+shards.  From the merged transform, the bytes before the
 suffixes (the BWT column), one stable pass per byte extends all suffixes to the left (the LF
 mapping) with their common prefixes taken as range minima.  A window is repeated when its
 common prefix with a neighbour reaches 400: it lies in a repeated interval.
