@@ -308,6 +308,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs`` (doc_id, text)."""
+    return _classes(docs).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, node, label): also the text's node and its component."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sig = durable(signatures(docs))
@@ -318,10 +323,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # class of a node: the smallest id of its component
     named = nodes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    of_node = named.select("node", "label").join(low, "label").select("node", "class_id")
+    of_node = named.select("node", "label").join(low, "label").select("node", "label", "class_id")
     # equal texts are one key here: the many side is split by the skew join, the few side is one row
     return (sig.select("doc_id", "node").join(of_node, "node", "left")
-            .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")))
+            .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "node", "label"))
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -397,11 +402,14 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, same columns: of each class only the document with the smallest
-    id (one row of it); rows without an id stay."""
-    keep = classes(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    # the first text in order stands for a doc_id that repeats
-    stay = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs``, same columns: of each class only the text with the smallest id
+    (one row of it); rows without an id stay."""
+    # the class's representative: its smallest id, and of that id's texts in the class the first node
+    keep = (_classes(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("class_id"))
+            .groupBy("doc_id", "label").agg(F.min("node").alias("keep_node")).select(F.col("doc_id").alias("keep_id"), "keep_node"))
+    stay = (docs.where(F.col("doc_id").isNotNull())
+            .join(keep, (F.col("doc_id").cast("long") == F.col("keep_id")) & (node_key() == F.col("keep_node")), "left_semi")
+            .withColumn("keep_node", node_key()).dropDuplicates(["doc_id", "keep_node"]))
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -363,6 +363,15 @@ def test_keep_one(odd_docs):
     assert 5 in ids and 6 not in ids and 11 not in ids and ids.count(7) == 1 and None in ids
 
 
+def test_keep_one_keeps_both_texts_of_an_id(spark):
+    from .conftest import prose
+    a, b = prose(971, 80), prose(972, 80)
+    rows = [(7, a), (7, b), (7, b), (7, a + " end"), (8, b), (9, prose(973, 80))]
+    out = prob_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = [r["text"] for r in out if r["text"] in (a, a + " end")]
+    assert len(near) == 1 and sorted((r["doc_id"], r["text"]) for r in out) == sorted([(7, near[0]), (7, b), rows[-1]])
+
+
 # -- op10
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
             ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
