@@ -61,7 +61,7 @@ def entropies(t: np.ndarray) -> np.ndarray:
         part = t[a:a + KERNEL + WINDOW - 1]
         own = min(KERNEL, n - a)
         for k in range(1, WINDOW):
-            same = (part[:len(part) - k] == part[k:])[:own].view(np.uint8)
+            same = (part[:max(0, len(part) - k)] == part[k:])[:own].view(np.uint8)
             ahead[a:a + len(same)] += same
             behind[a + k:a + k + len(same)] += same
     first = int(_GAIN[np.bincount(t[:WINDOW], minlength=256)].sum())

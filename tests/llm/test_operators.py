@@ -90,6 +90,70 @@ def test_entropies_and_votes():
     assert counts.sum() == sum(len(x) + 48 - 63 for x in (b"x" * 100, t.tobytes()))
 
 
+def plain_entropies(t):
+    gain = lambda w: sum(int(improbable_digest._GAIN[c]) for c in collections.Counter(w).values())
+    full = improbable_digest._FULL
+    return [1000 * (full - gain(t[i:i + 64])) // full for i in range(len(t) - 63)]
+
+
+@pytest.mark.parametrize("rest", range(65))
+def test_entropies_at_every_remainder_of_a_block(rest, monkeypatch):
+    monkeypatch.setattr(improbable_digest, "KERNEL", 128)
+    raw = bytes(np.random.default_rng(rest).integers(97, 109, 256 + rest, dtype=np.uint8))
+    assert improbable_digest.entropies(np.frombuffer(raw, np.uint8)).tolist() == plain_entropies(raw)
+
+
+def plain_digest(text, ranks):
+    """Filters of one text, each (set of bits, features), by the module's docstring."""
+    if not text:
+        return []
+    raw = (improbable_digest.LEAD + text).ljust(64, b"\0")
+    order = [(int(ranks[e]), i) for i, e in enumerate(plain_entropies(raw))]
+    votes = collections.Counter(min(order[a:a + 64])[1] for a in range(len(order)))
+    need = min(improbable_digest.POPULAR, max(votes.values()))
+    feats = [raw[i:i + 64] for i in sorted(votes) if votes[i] >= need]
+    out = []
+    for a in range(0, len(feats), improbable_digest.PER_FILTER):
+        bits = set()
+        for f in feats[a:a + improbable_digest.PER_FILTER]:
+            h = 0x243F6A8885A308D3
+            for k in range(0, 64, 8):
+                h = (h ^ int.from_bytes(f[k:k + 8], "little")) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            bits |= {(h >> 11 * k) % 2048 for k in range(improbable_digest.HASHES)}
+        out.append((bits, len(feats[a:a + improbable_digest.PER_FILTER])))
+    return out
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    def score(x, y):
+        most, chance = min(len(x), len(y)), len(x) * len(y) / 2048
+        low = improbable_digest.ALPHA * (most - chance) + chance
+        return min(1, max(0, (len(x & y) - low) / max(most - low, 1e-9)))
+    side = lambda p, q: sum(n * max(score(x, y) for y, _ in q) for x, n in p) / sum(n for _, n in p)
+    if len(a) != len(b):
+        return side(*sorted((a, b), key=len))
+    return (side(a, b) + side(b, a)) / 2
+
+
+def test_digests_and_likeness_by_brute_force(docs_sf):
+    texts = [t.encode() for _, t in sorted(pairs(docs_sf), key=lambda x: (len(x[1]), x[1]))]
+    long = [t for t in texts if 20_000 < len(t) < 60_000][:2]
+    texts = [b"", b"ab", *[t for t in texts if 100 < len(t) < 4000][:14], *long]
+    texts += [texts[6][:-80] + texts[7][:80], long[0][:15_000]]
+    ranks = improbable_digest.rank_table(improbable_digest.count_entropies(texts))
+    got, plain = improbable_digest.digests(texts, ranks), [plain_digest(t, ranks) for t in texts]
+    assert max(map(len, plain)) > 1
+    for d, p in zip(got, plain, strict=True):
+        bits = [set(np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little")).tolist()) for row in d.bits]
+        assert list(zip(bits, d.features.tolist(), strict=True)) == p
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert improbable_digest.likeness(got[i], got[j]) == pytest.approx(plain_likeness(plain[i], plain[j]))
+
+
 def test_fingerprints(spark, docs_sf):
     rows = sorted(pairs(docs_sf))
     out = {r["doc_id"]: r for r in improbable_digest.digest(docs_sf).collect()}
