@@ -1,6 +1,6 @@
 """Token ids as compressed binary files: a static range asymmetric numeral system (rANS).
 
-``token_ids`` encodes whole texts with a tokenizers file; ``write`` counts the ids of the whole
+``token_ids`` encodes whole texts with a tokenizers file (:mod:`byte_chunks`); ``write`` counts the ids of the whole
 corpus, scales the counts to one shared frequency table and writes the ids, in ascending
 order of the documents, as files of independent blocks; ``read`` gives every document's ids
 back, ``digest`` their places and checksums.
@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paneflow.llm.byte_chunks import ByteChunks
 from paneflow.llm.common import blocks, parallelism, ship, stored, text_of
 from paneflow.session import checkpoint_dir
 
@@ -52,9 +53,9 @@ PRECISION = 18            # the shared frequencies add up to 2**18
 CHECK_STEPS = 512         # steps (LANES ids each) from one checkpoint to the next
 SEGMENT_IDS = LANES * CHECK_STEPS
 BLOCK_IDS = 4 * SEGMENT_IDS
-GROUP = 8                 # blocks encoded, or decoded, side by side
+TEXT_BYTES = 12 << 20     # text that a task encodes together, unless one is longer
+GROUP = 32                # blocks encoded, or decoded, side by side
 RUN_BLOCKS = 64           # blocks of one reading task's unit
-CUT_CHARS = 1 << 20       # longer texts go through the tokenizer in pieces
 LOWER = np.uint64(1 << 31)
 MAGIC = b"IDSRANS1"
 HEAD = struct.Struct("<8sII32s")
@@ -296,22 +297,7 @@ def _documents(f, offsets: np.ndarray, first: int, last: int, table: Table) -> I
 
 # ---------------------------------------------------------------- Spark
 
-def pieces_of(text: str, size: int = CUT_CHARS) -> Iterator[str]:
-    """A long text in pieces that the tokenizer treats alike on their own: the byte-level pattern
-    never matches from a character that is no white space into a blank or line feed."""
-    import re
-    safe = re.compile(r"(?<=[^\s\x1c-\x1f᠎​﻿])[ \n]")
-    at = 0
-    while len(text) - at > size:
-        hit = safe.search(text, at + size)
-        if not hit:
-            break
-        yield text[at:hit.start()]
-        at = hit.start()
-    yield text[at:]
-
-
-_TOKENIZERS: dict = {}
+_ENCODERS: dict[str, ByteChunks] = {}
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -322,19 +308,13 @@ def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "tex
     src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("hash"), F.monotonically_increasing_id().alias("row"), t.alias("text"))
 
     def run(batches):
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task owns one core
-        from tokenizers import Tokenizer
-        tok = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Tokenizer.from_file(path))
-        kind = "<u2" if max(tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
+        enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ByteChunks(path))
+        width = 2 if max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            for part in blocks(batch, 3):
-                cut = [list(pieces_of(x)) for x in part.column(3).to_pylist()]
-                got = iter(tok.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False))
-                ids = [b"".join(np.array(next(got).ids, kind).tobytes() for _ in c) + end for c in cut]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([4 // (1 + (kind == "<u2"))] * len(part), pa.int32()),
-                                                  pa.array(ids, pa.binary())], names=["doc_id", "hash", "row", "width", "ids"])
+            for part in blocks(batch, 3, TEXT_BYTES):
+                ids = [np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in enc.encode(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([width] * len(part), pa.int32()), pa.array(ids, pa.binary())],
+                                                 names=["doc_id", "hash", "row", "width", "ids"])
 
     return src.mapInArrow(run, "doc_id long, hash long, row long, width int, ids binary")
 
@@ -494,5 +474,5 @@ def digest(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
     """Encode, write and read back; ``folder`` defaults to a new one in the shared checkpoint folder."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
-    write(stored(token_ids(docs, path)), folder)
+    write(stored(token_ids(docs, path), "zstd"), folder)
     return places(spark, folder)

@@ -10,9 +10,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
-from paneflow.llm import byte_transducer, path_ranking, range_ans
+from paneflow.llm import byte_chunks, byte_transducer, path_ranking, range_ans
 
 BYTES = P.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -84,16 +85,34 @@ def test_blocks_and_checkpoints(monkeypatch):
     assert n < 1000 or len(raw[0]) * 8 < 1.1 * n * -(p * np.log2(p)).sum() + 8 * 4096
 
 
+def odd_text(r, n):
+    return "".join(r.choice(["a", "Be", "é", " ", "  ", "\n", "\n\n", ",", ".", "'s", "1", "日本", *ODD[r.randrange(4)]]) for _ in range(n))
+
+
+ODD = (["\t", "\r\n", "\x0b"], ["<|endoftext|>", "\0"], ["\x1c", "\xa0", "\u2003", "\u180e", "\u200b"], ["word", "Word"])
+
+
 def test_long_texts_in_pieces():
     r = random.Random(3)
-    text = "".join(r.choice(["a", "é", " ", "  ", "\n", "\t", "'s", "<|endoftext|>", "1", ".", "\x1c", "\xa0", " ", "᠎", "日本"]) for _ in range(3000))
+    text = odd_text(r, 3000)
     for size in (1, 7, 50):
-        parts = list(range_ans.pieces_of(text, size))
+        parts = list(byte_chunks.pieces_of(text, size))
         assert "".join(parts) == text and len(parts) > 3
         ids = plain_ids(parts)
         assert np.concatenate([x[:-1] for x in ids]).tolist() == plain_ids([text])[0][:-1].tolist()
 
 
+def test_chunks_give_the_ids_of_whole_texts(docs_sf):
+    r = random.Random(8)
+    plain = ["a", "Be", "é", " ", " ", "  ", "\n", "\n\n", ",", ".", "'s", "1", "日本", "word", "Word"]
+    texts = ["", " ", "\n", "\n\n", "  ", "a ", " a", "a\n", "a  ", "\n a", *("".join(r.choice(plain) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    texts += [odd_text(r, r.randint(1, 30)) for _ in range(1000)] + [x["text"] for x in docs_sf.collect()]
+    enc = byte_chunks.ByteChunks(BYTES)
+    for part in (texts, texts[:500]):
+        got = enc.encode(pa.array([*part, None]))
+        assert [x.tolist() for x in got] == [x[:-1].tolist() for x in plain_ids([*part, ""])]
+
+
 def test_long_documents_stream(spark, monkeypatch):
     monkeypatch.setattr(range_ans, "RUN_BLOCKS", 1)
     long = " ".join(f"word{i * 7919 % 1000}" for i in range(120_000))
