@@ -99,16 +99,18 @@ def encode(ids: np.ndarray, table: Table) -> list[tuple[np.ndarray, np.ndarray,
     out = np.zeros((steps, m, LANES), bool)
     low = np.zeros((steps, m, LANES), np.uint32)
     states = np.zeros((m, -(-steps // CHECK_STEPS), LANES), np.uint64)
-    room, half, bits = np.uint64(63 - PRECISION), np.uint64(32), np.uint64(PRECISION)
+    room, half = freq << np.uint64(63 - PRECISION), np.uint64(32)
+    rest = np.uint64(1 << PRECISION) - freq
     for s in range(steps - 1, -1, -1):
-        f, c = freq[:, s * LANES:(s + 1) * LANES], start[:, s * LANES:(s + 1) * LANES]
+        part = slice(s * LANES, (s + 1) * LANES)
+        f = freq[:, part]
         w = f.shape[1]
         y = x[:, :w]
-        full = y >= (f << room)
-        out[s, :, :w], low[s, :, :w] = full, y.astype(np.uint32)
+        full = y >= room[:, part]
+        out[s, :, :w], low[s, :, :w] = full, y
         y = np.where(full, y >> half, y)
-        q = y // f
-        x[:, :w] = (q << bits) + (y - q * f) + c
+        # (q << PRECISION) + y % f + start, with y % f = y - q * f
+        x[:, :w] = y // f * rest[:, part] + y + start[:, part]
         if s % CHECK_STEPS == 0:
             states[:, s // CHECK_STEPS] = x
     before = np.cumsum(out.sum(axis=2), axis=0)[CHECK_STEPS - 1:-1:CHECK_STEPS]
@@ -301,8 +303,10 @@ _ENCODERS: dict[str, ByteChunks] = {}
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """(doc_id, hash, row, ids): the ids of each whole text with the end id, as little-endian
-    integers of 16 bits (32 if the vocabulary needs them).  Narrow."""
+    """(doc_id, hash, row, width, ids): the ids of each whole text with the end id, as little-endian
+    integers of ``width`` bytes (2, or 4 if the vocabulary needs them).  Narrow.
+
+    A task leaves one more row, with ``width`` 0: how often each id occurs in its rows (64-bit numbers)."""
     ship(docs.sparkSession)
     t = text_of(text)
     src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("hash"), F.monotonically_increasing_id().alias("row"), t.alias("text"))
@@ -310,11 +314,16 @@ def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "tex
     def run(batches):
         enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ByteChunks(path))
         width = 2 if max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        names, total = ["doc_id", "hash", "row", "width", "ids"], np.zeros(0, np.int64)
         for batch in batches:
             for part in blocks(batch, 3, TEXT_BYTES):
-                ids = [np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in enc.encode(part.column(3))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([width] * len(part), pa.int32()), pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "hash", "row", "width", "ids"])
+                ids = [np.append(x, np.uint32(end_id)) for x in enc.encode(part.column(3))]
+                total = _sum(total, np.bincount(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([width] * len(part), pa.int32()),
+                                                  pa.array([x.astype(f"<u{width}").tobytes() for x in ids], pa.binary())], names=names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(
+                (None, 0, 0, 0, total.astype("<i8").tobytes()), (*[pa.int64()] * 3, pa.int32(), pa.binary()), strict=True)], names=names)
 
     return src.mapInArrow(run, "doc_id long, hash long, row long, width int, ids binary")
 
@@ -323,19 +332,24 @@ def _array(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}")
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two count vectors of any lengths."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a = a.copy()
+    a[:len(b)] += b
+    return a
+
+
 def frequency_table(ids: DataFrame) -> DataFrame:
     """(id, freq): the ids' counts over all rows, scaled to the shared table."""
     def count(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(_array(raw.as_buffer(), width), minlength=len(total))
-                n[:len(total)] += total
-                total = n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = ids.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for raw in batch.column(0):
+                total = np.frombuffer(raw.as_buffer(), "<i8")
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    counts = ids.where("width = 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted(map(tuple, counts.collect()))            # at most one row per id of the vocabulary
     table = Table.of_counts([i for i, _ in rows], [n for _, n in rows])
     used = np.flatnonzero(table.freq)
@@ -378,7 +392,7 @@ def write(ids: DataFrame, folder: str, files: int | None = None) -> None:
         fs.move(attempt, f"{inner}/part-{task.partitionId():06d}.rans")
         yield pa.RecordBatch.from_pydict({"ids": pa.array([out.n_ids], pa.int64())})
 
-    placed = ids.repartitionByRange(files or parallelism(spark), *order).sortWithinPartitions(*order)
+    placed = ids.where("width > 0").repartitionByRange(files or parallelism(spark), *order).sortWithinPartitions(*order)
     placed.select("doc_id", "ids", "width").mapInArrow(put, "ids long").agg(F.sum("ids")).collect()
 
 
