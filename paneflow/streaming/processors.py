@@ -1,16 +1,23 @@
-"""Keyed stateful stream operators (STR-6, UDF-5) on ``transformWithStateInPandas``.
+"""Keyed stateful stream operators on ``transformWithStateInPandas`` (STR-6 to STR-8, UDF-5, WIN-3).
 
-State lives in Spark's state store (RocksDB provider), checkpointed with the query, so
-a restarted query resumes with the same per-key state.  Each key's rows of a
-micro-batch are handled in event-time order.
+:class:`InEventTimeOrder` is the base: a key's rows wait in a list state until the watermark
+has passed them and then reach :meth:`take` in event-time order, whatever the micro-batches in which
+they came.  A timer per key wakes it; the state holds the rows of one watermark delay (and of the
+batch at hand), never a key's history.  State lives in Spark's state store (RocksDB provider) and is
+checkpointed with the query, so a restarted query goes on with it.
+
+Event times are whole numbers of the unit ``per_ms`` says (milliseconds per unit); a row that is not
+later than the watermark of the batch before is dropped by Spark, as in every stateful operator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
 from paneflow.operators.stateful import STOP_REPORTS
 
@@ -25,46 +32,255 @@ try:
 except Exception:  # noqa: BLE001 - older cloudpickle: fall back to the shipped package
     pass
 
-STOP_OUTPUT = StructType([StructField(c, LongType()) for c in ("vid", "xway", "seg", "pos", "r_time")])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class StopDetector(StatefulProcessor):
-    """STR-6 per vehicle: value state ``(pos, count)``; emits the report at which a
-    vehicle has been seen ``STOP_REPORTS`` times in a row at one position, the later
-    ones with speed 0 (the first report of a run counts whatever its speed)."""
+class InEventTimeOrder(StatefulProcessor):
+    """Base class: ``columns`` (name, type) of the rows, the time first; ``out`` the output columns.
+
+    Subclasses add state in :meth:`more_state`, handle one row in :meth:`take` and may report
+    what the watermark alone has closed in :meth:`passed`; :meth:`next_time` names the time at
+    which that will be."""
+
+    columns: tuple[tuple[str, str], ...] = ()
+    out: tuple[str, ...] = ()
+    per_ms = 1000                       # seconds
+    #: Times of equal rank go by the further columns, in their order.
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("pos", LongType()), StructField("count", LongType())])
-        self.state = handle.getValueState("run", schema)
+        self.handle = handle
+        self.names = [c for c, _ in self.columns]
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in self.columns))
+        self.armed = handle.getValueState("armed", "at long")
+        self.more_state(handle)
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values("r_time")
-        if self.state.exists():
-            pos, cnt = self.state.get()
-        else:
-            pos, cnt = None, 0
-        out = []
-        for r in pdf.itertuples(index=False):
-            if pos is not None and r.pos == pos:
-                if r.speed == 0:
-                    cnt += 1
-                    if cnt == STOP_REPORTS:
-                        out.append((r.vid, r.xway, r.seg, r.pos, r.r_time))
-            else:
-                pos, cnt = r.pos, 1
-        self.state.update((int(pos), int(cnt)))
-        if out:
-            yield pd.DataFrame(out, columns=["vid", "xway", "seg", "pos", "r_time"])
+    def more_state(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def take(self, key: tuple, row: tuple) -> Iterable[tuple]:
+        """Output rows for one row in event-time order."""
+        raise NotImplementedError
+
+    def passed(self, key: tuple, upto: int) -> Iterable[tuple]:
+        """Output rows once all rows up to the time ``upto`` have been taken."""
+        return ()
+
+    def next_time(self) -> int | None:
+        """The time from which :meth:`passed` will have something to say."""
+        return None
+
+    def load(self) -> None:
+        """Read the state before the first row of a call."""
+
+    def save(self) -> None:
+        """Write the state after the last row of a call."""
+
+    def _arm(self, at: int) -> None:
+        now = self.armed.get()[0] if self.armed.exists() else None
+        if now is None or at < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(at)
+            self.armed.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            part = [tuple(r) for r in pdf[self.names].itertuples(index=False, name=None)]
+            self.waiting.appendList(part)
+            low = min(r[0] for r in part)
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._arm(int(first) * self.per_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        upto = watermark // self.per_ms
+        self.armed.clear()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((tuple(r) for r in rows if r[0] <= upto), key=self.order)
+        later = [tuple(r) for r in rows if r[0] > upto]
+        found: list[tuple] = []
+        self.load()
+        for row in ready:
+            found += self.take(key, row)
+        found += self.passed(key, upto)
+        self.save()
+        if later:
+            self.waiting.put(later)
+        elif rows:
+            self.waiting.clear()
+        times = [r[0] for r in later] + [t for t in (self.next_time(),) if t is not None]
+        if times:
+            self._arm(max(int(min(times)) * self.per_ms, watermark + 1))
+        if found:
+            yield pd.DataFrame(found, columns=list(self.out))
+
+    @staticmethod
+    def order(row: tuple):
+        return row
 
     def close(self) -> None:
         pass
 
 
+STOPS = "vid long, xway long, seg long, pos long, start_time long, kind long, r_time long, ts timestamp"
+GO, STOP = 0, 1
+
+
+class StopDetector(InEventTimeOrder):
+    """STR-6 per vehicle: the report at which it has been seen ``STOP_REPORTS`` times in a row at
+    one position, the later ones with speed 0 (the first report of a run counts whatever its speed),
+    as a ``STOP`` row; and for each open stop the first later report with speed, as a ``GO`` row."""
+
+    columns = (("r_time", "long"), ("pos", "long"), ("speed", "long"), ("xway", "long"), ("seg", "long"))
+    out = ("vid", "xway", "seg", "pos", "start_time", "kind", "r_time", "ts")
+
+    def more_state(self, handle):
+        self.run = handle.getValueState("run", "pos long, n long")
+        self.open = handle.getListState("open", "start_time long, xway long, seg long, pos long")
+
+    def load(self):
+        self.pos, self.n = self.run.get() if self.run.exists() else (None, 0)
+        self.stops = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+
+    def save(self):
+        if self.pos is not None:
+            self.run.update((self.pos, self.n))
+        if self.stops:
+            self.open.put(self.stops)
+        elif self.open.exists():
+            self.open.clear()
+
+    def take(self, key, row):
+        time, pos, speed, xway, seg = row
+        ts = pd.Timestamp(time, unit="s")
+        out = []
+        if speed != 0:
+            out += [(key[0], x, s, p, start, GO, time, ts) for start, x, s, p in self.stops]
+            self.stops = []
+        if pos != self.pos:
+            self.pos, self.n = pos, 1
+        elif speed == 0:
+            self.n += 1
+            if self.n == STOP_REPORTS:
+                self.stops.append((time, xway, seg, pos))
+                out.append((key[0], xway, seg, pos, time, STOP, time, ts))
+        return out
+
+
+ACCIDENTS = ("xway long, pos long, seg long, vid1 long, vid2 long, start_time long, end_time long, "
+             "change long, r_time long, ts timestamp")
+
+
+class AccidentMap(InEventTimeOrder):
+    """STR-7 per (xway, pos): the vehicles that stand there.  A vehicle that stops beside others
+    begins an accident with each (``change`` 1, ``end_time`` -1); the first one to drive on
+    ends it (``change`` -1).  At one time vehicles leave before others stop."""
+
+    columns = (("r_time", "long"), ("kind", "long"), ("vid", "long"), ("start_time", "long"), ("seg", "long"))
+    out = ("xway", "pos", "seg", "vid1", "vid2", "start_time", "end_time", "change", "r_time", "ts")
+
+    def more_state(self, handle):
+        self.standing = handle.getMapState("standing", "vid long, start_time long", "seg long")
+
+    def load(self):
+        self.others = {tuple(k): v[0] for k, v in self.standing.iterator()} if self.standing.exists() else {}
+
+    def take(self, key, row):
+        time, kind, vid, start, seg = row
+        if kind == STOP:
+            self.others[vid, start] = seg
+            self.standing.updateValue((vid, start), (seg,))
+        elif self.others.pop((vid, start), None) is not None:
+            self.standing.removeKey((vid, start))
+        out = []
+        for (other, since), other_seg in self.others.items():
+            if other != vid:
+                end, change = (-1, 1) if kind == STOP else (time, -1)
+                at = seg if vid < other else other_seg
+                out.append((*key, at, min(vid, other), max(vid, other), max(start, since), end, change, time, pd.Timestamp(time, unit="s")))
+        return out
+
+
+PASSES = "xway long, seg long, pass_time long, reports long, avg_speed double, accident long"
+
+
+class TollPass(InEventTimeOrder):
+    """STR-8 per (xway, seg): every ``period`` seconds of event time in which a report came, the reports
+    and their mean speed since the beginning, and whether an accident is open.  The timer is armed
+    for the end of the period of the last report and again by the next one."""
+
+    columns = (("r_time", "long"), ("change", "long"), ("speed", "long"))
+    out = ("xway", "seg", "pass_time", "reports", "avg_speed", "accident")
+
+    def __init__(self, period: int):
+        self.period = period
+
+    def more_state(self, handle):
+        self.sums = handle.getValueState("sums", "n long, speed long, open long, due long")
+
+    def load(self):
+        self.n, self.speed, self.open_, self.due = self.sums.get() if self.sums.exists() else (0, 0, 0, -1)
+
+    def save(self):
+        self.sums.update((self.n, self.speed, self.open_, self.due))
+
+    def _pass(self, key):
+        out = [(*key, self.due, self.n, self.speed / self.n, int(self.open_ > 0))]
+        self.due = -1
+        return out
+
+    def take(self, key, row):
+        time, change, speed = row
+        out = self._pass(key) if 0 <= self.due <= time else []
+        if change == 0:
+            self.n, self.speed = self.n + 1, self.speed + speed
+            self.due = (time // self.period + 1) * self.period
+        else:
+            self.open_ += change
+        return out
+
+    def passed(self, key, upto):
+        return self._pass(key) if 0 <= self.due <= upto else []
+
+    def next_time(self):
+        return self.due if self.due >= 0 else None
+
+
+def ordered(stream: DataFrame, keys: list[str], processor: InEventTimeOrder, schema: str, event_time: str = "") -> DataFrame:
+    """Apply a processor per key in append mode; ``event_time`` names the output's time for the next
+    stateful operator of the query."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName=event_time)
+
+
+def _timed(reports: DataFrame) -> DataFrame:
+    """Reports with the seconds of their event time; those without a time belong to no order."""
+    return reports.where(F.col("ts").isNotNull()).withColumn("r_time", F.unix_seconds("ts"))
+
+
+def stop_changes(reports: DataFrame) -> DataFrame:
+    """Stops and drive-ons of all vehicles (:data:`STOPS`) of watermarked reports."""
+    rows = _timed(reports).select("vid", "xway", "seg", "pos", "r_time", "speed", "ts")
+    return ordered(rows, ["vid"], StopDetector(), STOPS, "ts")
+
+
 def stop_detector_stream(reports: DataFrame) -> DataFrame:
-    """Apply :class:`StopDetector` keyed by ``vid`` (append mode)."""
-    reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    cols = reports.select("vid", "xway", "seg", "pos", "r_time", "speed")
-    return cols.groupBy("vid").transformWithStateInPandas(
-        statefulProcessor=StopDetector(), outputStructType=STOP_OUTPUT,
-        outputMode="Append", timeMode="None")
+    """STR-6: the stop events (vid, xway, seg, pos, r_time)."""
+    return stop_changes(reports).where(F.col("kind") == STOP).select("vid", "xway", "seg", "pos", "r_time")
+
+
+def accident_changes(reports: DataFrame) -> DataFrame:
+    """Begins and ends of accidents (:data:`ACCIDENTS`): the map of standing vehicles fed by the detector."""
+    return ordered(stop_changes(reports), ["xway", "pos"], AccidentMap(), ACCIDENTS, "ts")
+
+
+def toll_pass_stream(reports: DataFrame, period: int) -> DataFrame:
+    """STR-8: passes (:data:`PASSES`) over the reports and the accident changes of each segment."""
+    changes = accident_changes(reports).select("xway", "seg", "r_time", "change", F.lit(0).cast("long").alias("speed"), "ts")
+    rows = _timed(reports).select("xway", "seg", "r_time", F.lit(0).cast("long").alias("change"), "speed", "ts")
+    return ordered(rows.unionByName(changes), ["xway", "seg"], TollPass(period), PASSES)

@@ -12,8 +12,9 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneflow.session import checkpoint_dir
@@ -26,12 +27,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append",
                  trigger: dict | None = None, partition_by: list[str] | None = None,
-                 base: str | None = None) -> DataFrame:
+                 base: str | None = None, watermark_policy: str | None = None) -> DataFrame:
     """Run ``stream`` until all available input is processed; return its output.
 
     ``base`` is a folder on shared storage that holds the table and its checkpoint: a
     second run with the same folder resumes after the last committed offsets.  Without one
-    the run is a single one in a fresh folder.
+    the run is a single one in a fresh folder.  ``watermark_policy`` ("min" or "max") says which of
+    several inputs' watermarks counts in this run (STR-3); a run that resumes keeps its first one.
     """
     spark = stream.sparkSession
     base = base or scratch_path(spark, name)
@@ -40,13 +42,27 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append",
         .option("checkpointLocation", ckpt).option("path", out)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.trigger(**(trigger or {"availableNow": True})).start()
+    with watermarks(spark, watermark_policy):
+        q = w.trigger(**(trigger or {"availableNow": True})).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@contextmanager
+def watermarks(spark: SparkSession, policy: str | None):
+    """The watermark policy of the queries started inside (read once, when a query starts)."""
+    key = "spark.sql.streaming.multipleWatermarkPolicy"
+    old = spark.conf.get(key)
+    if policy:
+        spark.conf.set(key, policy)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_foreach_batch(stream: DataFrame, name: str,
                       fn: Callable[[DataFrame, int], None], output_mode: str = "append",
                       base: str | None = None) -> None:
@@ -65,19 +81,24 @@ def run_foreach_batch(stream: DataFrame, name: str,
 
 
 def replay(df: DataFrame, name: str, run: Callable[[DataFrame, str], DataFrame | None],
-           slices: int = 3, jitter_us: int = 0, ts: str = "ts") -> DataFrame | None:
+           slices: int = 3, jitter_us: int = 0, ts: str = "ts", lag_us: Column | None = None,
+           close: bool = True) -> DataFrame | None:
     """Feed a batch frame to a stream slice by slice and flush it.
 
     The rows arrive in ``slices`` drops in event-time order; with ``jitter_us`` a row arrives
-    up to that much later than its time says.  ``run(stream, base)`` is called after each
-    drop with the same folder, so every call resumes the query.  The last drop is a copy of
-    one row, dated ten years after all others: it closes every window and stays open itself.
+    up to that much later than its time says, with ``lag_us`` as much later as this expression
+    says.  ``run(stream, base)`` is called after each drop with the same folder, so every call
+    resumes the query.  The last drop (unless ``close`` is off) is a copy of one row, dated ten
+    years after all others: it closes every window and stays open itself.  Rows without a time
+    never arrive.
     """
     spark = df.sparkSession
     base = scratch_path(spark, name)
     drops = os.path.join(base, "in")
     t = F.unix_micros(ts)
-    arrival = t + (F.pmod(F.xxhash64(*df.columns), F.lit(jitter_us)) if jitter_us else F.lit(0))
+    if lag_us is None:
+        lag_us = F.pmod(F.xxhash64(*df.columns), F.lit(jitter_us)) if jitter_us else F.lit(0)
+    arrival = t + lag_us
     lo, hi = df.agg(F.min(arrival), F.max(arrival)).first()
     out = None
     if lo is None:
@@ -86,7 +107,8 @@ def replay(df: DataFrame, name: str, run: Callable[[DataFrame, str], DataFrame |
     width = (hi - lo) // slices + 1
     which = F.floor((arrival - F.lit(lo)) / F.lit(width))
     last = F.timestamp_micros(F.lit(hi + 10 * 365 * 86_400_000_000)).cast(df.schema[ts].dataType)
-    for part in [*(df.where(which == k) for k in range(slices)), df.where(t.isNotNull()).limit(1).withColumn(ts, last)]:
+    closing = [df.where(t.isNotNull()).limit(1).withColumn(ts, last)] if close else []
+    for part in [*(df.where(which == k) for k in range(slices)), *closing]:
         part.write.mode("append").parquet(drops)
         out = run(spark.readStream.schema(df.schema).parquet(drops), base)
     return out
@@ -132,6 +154,46 @@ def late_rows(batch: DataFrame, ts: str, previous_watermark_us: int) -> DataFram
     return batch.filter(F.unix_micros(F.col(ts)) < F.lit(previous_watermark_us))
 
 
+def split_late(stream: DataFrame, name: str, ts: str = "ts", delay_us: int = 0,
+               base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """STR-5: run a stateless stream into two tables, rows in time and late rows.
+
+    The watermark of an epoch is the greatest event time of all earlier epochs less ``delay_us``,
+    as Spark's own.  Each epoch leaves its greatest time in the run's folder, under its id: a
+    resumed run goes on with the same watermark, and an epoch that is run again finds the same earlier
+    epochs and writes the same rows to the same places.  Rows without a time are in time.
+    """
+    spark = stream.sparkSession
+    base = base or scratch_path(spark, name)
+    seen, schema = os.path.join(base, "latest"), "latest long, epoch long"
+    outs = {side: os.path.join(base, side) for side in ("in_time", "late")}
+    spark.createDataFrame([], "latest long").write.mode("ignore").parquet(os.path.join(seen, "epoch=-1"))
+    for path in outs.values():
+        spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(os.path.join(path, "epoch=-1"))
+
+    def write(df: DataFrame, epoch_id: int) -> None:
+        df = df.persist()
+        t = F.unix_micros(F.col(ts))
+        before = spark.read.schema(schema).parquet(seen).where(F.col("epoch") < epoch_id).agg(F.max("latest")).first()[0]
+        late = late_rows(df, ts, before - delay_us) if before is not None else df.limit(0)
+        in_time = df.where(t.isNull() | (t >= before - delay_us)) if before is not None else df
+        for path, rows in ((outs["late"], late), (outs["in_time"], in_time)):
+            rows.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch_id}"))
+        df.agg(F.max(t).alias("latest")).write.mode("overwrite").parquet(os.path.join(seen, f"epoch={epoch_id}"))
+        df.unpersist()
+
+    run_foreach_batch(stream, name, write, base=base)
+    read = spark.read.schema(stream.schema)
+    return read.parquet(outs["in_time"]), read.parquet(outs["late"])
+
+
+def state_rows(spark: SparkSession, base: str, side: str | None = None, operator: int = 0) -> int:
+    """Rows that a stateful operator of the run in ``base`` holds after its last micro-batch, from
+    Spark's state data source; ``side`` names a join's input ("left" or "right")."""
+    r = spark.read.format("statestore").option("path", os.path.join(base, "checkpoint")).option("operatorId", operator)
+    return (r.option("joinSide", side) if side else r).load().count()
+
+
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """STR-12: run an aggregate in ``complete`` mode; every epoch's output replaces the
     previous snapshot folder (idempotent), and the final snapshot is returned, windows that
