@@ -11,3 +11,4 @@ from paneflow.plans import watermarks  # noqa: F401
 from paneflow.plans import workloads  # noqa: F401
 from paneflow.plans import operators  # noqa: F401
 from paneflow.plans import sources  # noqa: F401
+from paneflow.plans import stream_sources  # noqa: F401

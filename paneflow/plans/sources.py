@@ -46,14 +46,19 @@ def src_1(spark, d):
 
 # ---------------------------------------------------------------- SRC-2 / SRC-3 YSB binary
 
-def _ysb_binary(spark, d) -> str:
-    ev = X.ad_events(load(spark, d, "events"))
-    rec = ev.select(F.lit(0).alias("user_hi"), F.col("user_id").alias("user_lo"),
+def ysb_records(events: DataFrame) -> DataFrame:
+    """Ad events with the fields of the 78-byte record."""
+    ev = X.ad_events(events)
+    return ev.select(F.lit(0).alias("user_hi"), F.col("user_id").alias("user_lo"),
                     F.lit(0).alias("page_hi"), F.col("page_id").alias("page_lo"),
                     F.lit(0).alias("campaign_hi"),
                     F.floor(F.col("ad_id") / 10).cast("long").alias("campaign_lo"),
                     "ad_type", "event_type",
                     F.unix_millis("ts").alias("current_ms"), "ip")
+
+
+def _ysb_binary(spark, d) -> str:
+    rec = ysb_records(load(spark, d, "events"))
     out = os.path.join(_scratch(spark, "ysb_bin"), "bin")
     FS.write_fixed_width(rec, out, FS.YSB_LAYOUT, byte_order=">")
     return out

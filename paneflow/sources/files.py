@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,10 +53,9 @@ RANGE_BYTES = 16 << 20
 
 def _open_fs(path: str):
     """(file system, path in it) of a URI or an absolute path."""
-    from pyarrow import fs
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[len("file:"):]
-    return fs.FileSystem.from_uri(path)
+    return pa_fs.FileSystem.from_uri(path)
 
 
 def byte_ranges(spark: SparkSession, path: str, unit: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -76,29 +76,37 @@ def _read(path: str, start: int, size: int) -> bytes:
         return f.read(size)
 
 
+def subset(dt: np.dtype, keep: list[str]) -> np.dtype:
+    """The record type with only the fields ``keep``; the other bytes are skipped."""
+    return np.dtype({"names": keep, "formats": [dt.fields[n][0] for n in keep],
+                     "offsets": [dt.fields[n][1] for n in keep], "itemsize": dt.itemsize})
+
+
+def decode_records(raw: bytes, part: np.dtype) -> dict[str, object]:
+    """The fields of whole records as columns (bytes after the last whole record are left out)."""
+    arr = np.frombuffer(raw, dtype=part, count=len(raw) // part.itemsize)
+    cols: dict[str, object] = {}
+    for n in part.names:
+        a = arr[n]
+        if a.dtype.kind == "S":
+            cols[n] = pd.Series(a).str.decode("latin-1").str.rstrip("\x00")
+        else:
+            cols[n] = a.astype("float64" if a.dtype.kind == "f" else "int64")
+    return cols
+
+
 def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = ">",
                      fields: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC-2 / SRC-4 / SRC-7 / SRC-8 batch reader; ``fields`` decodes only those
     columns (SRC-3, early projection: the dtype is subset, other bytes are skipped)."""
     dt = dtype(layout, byte_order)
     keep = [n for n, _ in layout if fields is None or n in fields]
-    part = np.dtype({"names": keep, "formats": [dt.fields[n][0] for n in keep],
-                     "offsets": [dt.fields[n][1] for n in keep], "itemsize": dt.itemsize})
+    part = subset(dt, keep)
 
     def decode(batches):
         for pdf in batches:
             for file, start, size in zip(pdf["path"], pdf["start"], pdf["size"], strict=True):
-                arr = np.frombuffer(_read(file, int(start), int(size)), dtype=part, count=int(size) // dt.itemsize)
-                cols = {}
-                for n in keep:
-                    a = arr[n]
-                    if a.dtype.kind == "S":
-                        cols[n] = pd.Series(a).str.decode("latin-1").str.rstrip("\x00")
-                    elif a.dtype.kind == "f":
-                        cols[n] = a.astype("float64")
-                    else:
-                        cols[n] = a.astype("int64")
-                yield pd.DataFrame(cols)
+                yield pd.DataFrame(decode_records(_read(file, int(start), int(size)), part))
 
     return byte_ranges(spark, path, dt.itemsize, range_bytes).mapInPandas(decode, _schema(layout, keep))
 
@@ -121,7 +129,9 @@ def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">"
     folder on shared storage).  Returns the record count.
 
     A task writes an attempt file and renames it to the name of its partition at the end,
-    so a retried or speculative task replaces its file and never adds a second one.
+    so a retried or speculative task replaces its file and never adds a second one.  When all have
+    ended, parts of an earlier write that this one has not replaced go, and ``_SUCCESS`` marks the
+    folder as whole.
     """
     dt = dtype(layout, byte_order)
     names = [n for n, _ in layout]
@@ -142,10 +152,19 @@ def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">"
                 f.write(arr.tobytes())
                 n += len(pdf)
         fs.move(attempt, f"{inner}/part-{task.partitionId():05d}.bin")
-        yield pd.DataFrame({"records": [n]})
-
-    done = df.select(*names).mapInPandas(write, "records bigint")
-    return int(done.agg(F.sum("records")).first()[0] or 0)
+        yield pd.DataFrame({"part": [task.partitionId()], "records": [n]})
+
+    fs, inner = _open_fs(out_dir)
+    if fs.get_file_info(f"{inner}/_SUCCESS").is_file:
+        fs.delete_file(f"{inner}/_SUCCESS")
+    done = df.select(*names).mapInPandas(write, "part int, records bigint").collect()  # one row per task
+    fs.create_dir(inner, recursive=True)
+    written = {f"part-{r['part']:05d}.bin" for r in done}
+    for info in fs.get_file_info(pa_fs.FileSelector(inner)):
+        if info.base_name.startswith("part-") and info.base_name not in written:
+            fs.delete_file(info.path)
+    fs.open_output_stream(f"{inner}/_SUCCESS").close()
+    return sum(r["records"] for r in done)
 
 
 def read_lrb_csv(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

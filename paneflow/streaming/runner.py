@@ -65,17 +65,24 @@ def watermarks(spark: SparkSession, policy: str | None):
 
 def run_foreach_batch(stream: DataFrame, name: str,
                       fn: Callable[[DataFrame, int], None], output_mode: str = "append",
-                      base: str | None = None) -> None:
+                      base: str | None = None, drain: bool = False) -> None:
     """SNK-4: per-micro-batch callback (``foreachBatch``), run to completion.
 
     ``fn(batch_df, epoch_id)`` must be idempotent per epoch id for exactly-once output.
-    ``base`` as in :func:`run_to_table`.
+    ``base`` as in :func:`run_to_table`.  ``drain`` is for sources that do not know the
+    ``availableNow`` trigger (Python data sources: Spark would run one batch and no further one in
+    which the watermark closes windows); the query then runs until there is nothing left to do.
     """
     spark = stream.sparkSession
     ckpt = os.path.join(base or scratch_path(spark, name), "checkpoint")
-    q = stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt) \
-        .foreachBatch(fn).trigger(availableNow=True).start()
-    q.awaitTermination()
+    w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt).foreachBatch(fn)
+    if drain:
+        q = w.start()
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q = w.trigger(availableNow=True).start()
+        q.awaitTermination()
     if q.exception():
         raise q.exception()
 
