@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paneflow.operators.windows import col_of
 
 # Fixed patterns (must equal the reference's for right results).
-WORD_PATTERN = "([A-Za-z][A-Za-z']*)"
+WORD_PATTERN = "[A-Za-z][A-Za-z']*"
 URL_PATTERN = r"(((http[s]{0,1}|ftp)://)[a-zA-Z0-9\.\-]+\.([a-z]|[A-Z]|[0-9]|[/.]|[~]|[\-])*)"
 TOKEN_SEPARATORS = "[ \t]"
 
@@ -23,14 +23,14 @@ def words(text) -> Column:
 
     The match runs before ``upper`` (``upper('ß')`` would produce ASCII letters).
     """
-    return F.transform(F.regexp_extract_all(col_of(text), F.lit(WORD_PATTERN), 1),
+    return F.transform(F.regexp_extract_all(col_of(text), F.lit(WORD_PATTERN), 0),
                        lambda w: F.upper(w))
 
 
 def explode_words(df: DataFrame, text: str = "text", out: str = "word",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """UDF-2 flat-map: one row per word, upper-cased after the explode (inside codegen)."""
-    raw = F.regexp_extract_all(col_of(text), F.lit(WORD_PATTERN), 1)
+    raw = F.regexp_extract_all(col_of(text), F.lit(WORD_PATTERN), 0)
     return df.select(*keep, F.explode(raw).alias(out)).select(*keep, F.upper(out).alias(out))
 
 
@@ -84,11 +84,12 @@ def keyword_score_column(text, pairs: list[tuple[str, int]]) -> Column:
     """FN-8 as one per-row expression for a bounded literal dictionary: the sum of the
     scores of the text's space/tab tokens (map lookup per token, 0 when absent).
 
-    No explode, join or shuffle: the dictionary is a literal map inside the expression.
+    No explode, join or shuffle: the dictionary is a literal map inside the expression, and only
+    the tokens in its key set (a hash lookup) are looked up in it.
     """
     m = F.create_map(*[x for w, sc in pairs for x in (F.lit(w), F.lit(int(sc)).cast("long"))])
-    vals = F.transform(tokens(text), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0).cast("long")))
-    return F.aggregate(vals, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    hits = F.filter(tokens(text), lambda t: t.isin([w for w, _ in pairs]))
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, t: acc + F.try_element_at(m, t))
 
 
 def keyword_score(df: DataFrame, dictionary: DataFrame, id_cols: list[str],

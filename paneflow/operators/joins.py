@@ -130,6 +130,40 @@ def theta_join_range(left: DataFrame, right: DataFrame, size_left, size_right,
                          lprefix=lprefix, rprefix=rprefix)
 
 
+def theta_join_less(left: DataFrame, right: DataFrame, size_left, size_right, value: str, offset: float = 0.0,
+                    levels: int = 6, ts: str = "ts", lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
+    """JN-3: the windowed theta join with ``l.value + offset < r.value``; ``offset`` chooses the
+    selectivity.
+
+    The right side's quantiles cut the values into ``2**levels`` bands, the leaves of a binary tree.
+    A left row in band b needs all right rows in bands above b, and those are whole subtrees: the right
+    neighbours along its path.  So the sides also share a key, the node of the tree: a left row
+    goes to the right sibling of each left child on its path, a right row to each right child
+    on its own path, and both to their leaf.  Two rows meet in exactly one node.  Pairs of a
+    subtree are results as they are; only pairs of one band are compared, so the candidates are
+    the results and 1 / 2**levels of the rest.  Rows without a value match nothing.
+    """
+    probs = [k / 2**levels for k in range(1, 2**levels)]
+    bounds = sorted(set(right.approxQuantile(value, probs, 0.25 / 2**levels)))   # at most 2**levels numbers
+    depth = F.sequence(F.lit(0), F.lit(levels - 1))
+
+    def node(level, at):
+        return F.struct(level.cast("int").alias("level"), at.cast("long").alias("at"))
+
+    def with_nodes(df: DataFrame, band: Column, bit: int) -> DataFrame:
+        d = df.where(F.col(value).isNotNull()).withColumn("_band", band.cast("long"))
+        b = F.col("_band")
+        shifted = lambda j: F.call_function("shiftright", b, j)
+        path = F.transform(F.filter(depth, lambda j: shifted(j).bitwiseAND(F.lit(1)) == bit), lambda j: node(j, shifted(j) + (1 - bit)))
+        return d.withColumn("_node", F.explode(F.concat(path, F.array(node(F.lit(-1), b))))).drop("_band")
+
+    lv, rv = F.col(value) + F.lit(float(offset)), F.col(value)
+    L, R = with_nodes(left, W._bucket_of(lv, bounds), 0), with_nodes(right, W._bucket_of(rv, bounds), 1)
+    return interval_join(L, R, ["_node"], size_right, size_left, lts=ts, rts=ts, lower_inclusive=True, upper_inclusive=True,
+                         condition=lambda a, b: (F.col("_l._node.level") >= 0) | (F.col(lprefix + value) + F.lit(float(offset)) < F.col(rprefix + value)),
+                         lprefix=lprefix, rprefix=rprefix).drop("_node")
+
+
 def _window_start(count: Column, size: int, slide: int) -> Column:
     """Row window start after ``count`` arrivals: advances by ``slide`` on overflow."""
     over = count - F.lit(size)

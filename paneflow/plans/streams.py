@@ -63,6 +63,13 @@ def theta_equalities(events: DataFrame) -> DataFrame:
     return j.select("l_event_id", "r_event_id")
 
 
+def theta_less(events: DataFrame, offset: float) -> DataFrame:
+    """JN-3: range-window theta join views × purchases with ``l.value + offset < r.value``."""
+    l_ = events.filter(F.col("event_type") == "view").select("event_id", "ts", "value")
+    r_ = events.filter(F.col("event_type") == "purchase").select("event_id", "ts", "value")
+    return J.theta_join_less(l_, r_, THETA_WINDOW, THETA_WINDOW, "value", offset).select("l_event_id", "r_event_id")
+
+
 def theta_rows(events: DataFrame, size: int = ROW_WINDOW) -> DataFrame:
     """JN-2: row-window theta join (last ``size`` rows of the other side)."""
     l_ = events.filter(F.col("event_type") == "view").select("event_id", "ts", "value")
@@ -137,6 +144,14 @@ JOIN (SELECT * FROM events WHERE event_type = 'purchase') r
   ON epoch_us(r.ts) BETWEEN epoch_us(l.ts) - {2 * H} AND epoch_us(l.ts) + {2 * H}
 WHERE l.value < r.value"""
 
+# Offsets that leave about a hundredth and a half of the pairs of the test values.
+SELECTIVE, HALF = 200.0, 0.0
+
+
+def _sql_less(offset: float) -> str:
+    return SQL_THETA.replace("l.value < r.value", f"l.value + CAST({offset} AS DOUBLE) < r.value")
+
+
 SQL_THETA_EQ = f"""SELECT l.event_id AS l_event_id, r.event_id AS r_event_id
 FROM (SELECT * FROM events WHERE event_type = 'view') l
 JOIN (SELECT * FROM events WHERE event_type = 'purchase') r
@@ -187,6 +202,16 @@ def jn_3(spark, d):
     return theta_equalities(load(spark, d, "events"))
 
 
+@register("jn_3_less_one_percent", _sql_less(SELECTIVE))
+def jn_3_selective(spark, d):
+    return theta_less(load(spark, d, "events"), SELECTIVE)
+
+
+@register("jn_3_less_half", _sql_less(HALF))
+def jn_3_half(spark, d):
+    return theta_less(load(spark, d, "events"), HALF)
+
+
 @register("jn_8_join_state_expiry_stream", SQL_JOIN)
 def jn_8(spark, d):
     return stream_two_stream_join(spark, d)

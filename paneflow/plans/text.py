@@ -90,10 +90,23 @@ def score_branch(spark, docs: DataFrame, window=WIN) -> DataFrame:
 
 
 def tweet(spark, docs: DataFrame, window=WIN) -> DataFrame:
-    """Q-TWEET / JN-11 / STR-11: the score branch joined with the word-count branch of
-    the same stream on window end (one row per word result of the window)."""
-    wc = word_count(docs, window).select(F.col("window_end"), "word", "cnt")
-    return wc.join(score_branch(spark, docs, window), "window_end")
+    """Q-TWEET / JN-11 / STR-11 / SRC-11: the score branch joined with the word-count branch of
+    the same stream on window end (one row per word result of the window).
+
+    Both branches come from one pass over the texts: a text's words and one tag, its score behind a
+    zero byte (which no word has), are exploded together and counted per (window, word).  The tags
+    give the window's score.  Both sides of the join read the same columns of the same groups and are
+    told apart by an aggregate (a filter on the word would be pushed below it), so they share one
+    exchange and with it the scan.
+    """
+    tag = F.concat(F.lit("\0"), T.keyword_score_column("text", KEYWORDS).cast("string"))
+    # the array stands inside explode: as a column of its own it would be computed again in a filter on its size
+    words = W.tumbling(docs, window).select(W.micros("window.end").alias("window_end"),
+                                            F.explode(F.array_append(T.find_all("text", T.WORD_PATTERN), tag)).alias("word"))
+    groups = words.groupBy("window_end", F.upper("word").alias("word")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.bool_or(F.col("word").startswith("\0")).alias("tag"))
+    total = groups.where("tag").groupBy("window_end").agg(F.sum(F.col("cnt") * F.substring("word", 2, 20).cast("long")).alias("score"))
+    return groups.where("NOT tag").join(total, "window_end").select("window_end", "word", "cnt", "score")
 
 
 # ---------------------------------------------------------------- oracle SQL

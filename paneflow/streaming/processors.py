@@ -6,8 +6,8 @@ they came.  A timer per key wakes it; the state holds the rows of one watermark
 batch at hand), never a key's history.  State lives in Spark's state store (RocksDB provider) and is
 checkpointed with the query, so a restarted query goes on with it.
 
-Event times are whole numbers of the unit ``per_ms`` says (milliseconds per unit); a row that is not
-later than the watermark of the batch before is dropped by Spark, as in every stateful operator.
+Event times are whole numbers of ``unit_us`` microseconds; a row that is not later than the watermark
+of the batch before is dropped by Spark, as in every stateful operator.
 """
 
 from __future__ import annotations
@@ -44,8 +44,7 @@ class InEventTimeOrder(StatefulProcessor):
 
     columns: tuple[tuple[str, str], ...] = ()
     out: tuple[str, ...] = ()
-    per_ms = 1000                       # seconds
-    #: Times of equal rank go by the further columns, in their order.
+    unit_us = 1_000_000                 # the rows' times are seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -75,6 +74,10 @@ class InEventTimeOrder(StatefulProcessor):
     def save(self) -> None:
         """Write the state after the last row of a call."""
 
+    def _ms(self, time: int) -> int:
+        """The first millisecond at which a time has been reached."""
+        return -(-int(time) * self.unit_us // 1000)
+
     def _arm(self, at: int) -> None:
         now = self.armed.get()[0] if self.armed.exists() else None
         if now is None or at < now:
@@ -91,12 +94,12 @@ class InEventTimeOrder(StatefulProcessor):
             low = min(r[0] for r in part)
             first = low if first is None else min(first, low)
         if first is not None:
-            self._arm(int(first) * self.per_ms)
+            self._arm(self._ms(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        upto = watermark // self.per_ms
+        upto = watermark * 1000 // self.unit_us
         self.armed.clear()
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         ready = sorted((tuple(r) for r in rows if r[0] <= upto), key=self.order)
@@ -113,12 +116,13 @@ class InEventTimeOrder(StatefulProcessor):
             self.waiting.clear()
         times = [r[0] for r in later] + [t for t in (self.next_time(),) if t is not None]
         if times:
-            self._arm(max(int(min(times)) * self.per_ms, watermark + 1))
+            self._arm(max(self._ms(min(times)), watermark + 1))
         if found:
             yield pd.DataFrame(found, columns=list(self.out))
 
     @staticmethod
     def order(row: tuple):
+        """Rows of one time go by the further columns."""
         return row
 
     def close(self) -> None:
@@ -249,6 +253,90 @@ class TollPass(InEventTimeOrder):
         return self.due if self.due >= 0 else None
 
 
+class RowWindows(InEventTimeOrder):
+    """WIN-3 per key: windows of ``size`` rows, a new one every ``slide`` rows, in arrival order by
+    event time; the state is the arrivals' number and the last ``size`` values.  A window leaves
+    when its last row has come."""
+
+    unit_us = 1
+    columns = (("t", "long"), ("v", "long"))
+
+    def __init__(self, size: int, slide: int, key: str):
+        self.size, self.slide = size, slide
+        self.out = (key, "win_id", "cnt", "sum_v", "first_idx")
+
+    def more_state(self, handle):
+        self.arrived = handle.getValueState("arrived", "n long")
+        self.ring = handle.getListState("ring", "v long")
+
+    def load(self):
+        self.n = self.arrived.get()[0] if self.arrived.exists() else 0
+        self.last = [r[0] for r in self.ring.get()] if self.ring.exists() else []
+
+    def save(self):
+        if self.n:
+            self.arrived.update((self.n,))
+            self.last = self.last[-self.size:]
+            self.ring.put([(v,) for v in self.last])
+
+    def take(self, key, row):
+        self.n += 1
+        self.last.append(row[1])
+        first = self.n - self.size
+        if first < 0 or first % self.slide:
+            return ()
+        if len(self.last) > 4 * self.size:
+            self.last = self.last[-self.size:]
+        return [(key[0], first // self.slide, self.size, sum(self.last[-self.size:]), first)]
+
+
+class RowJoin(InEventTimeOrder):
+    """JN-2 per key: an arriving row meets the last ``size`` rows of the other side that came before
+    it, if the left value is smaller; at one time right rows (side 0) come first."""
+
+    unit_us = 1
+    columns = (("t", "long"), ("side", "long"), ("id", "long"), ("value", "double"))
+
+    def __init__(self, size: int, key: str):
+        self.size = size
+        self.out = (key, "l_id", "r_id")
+
+    def more_state(self, handle):
+        self.rings = [handle.getListState(f"ring{k}", "id long, value double") for k in range(2)]
+
+    def load(self):
+        self.last = [[tuple(r) for r in ring.get()] if ring.exists() else [] for ring in self.rings]
+
+    def save(self):
+        for ring, last in zip(self.rings, self.last, strict=True):
+            if last:
+                ring.put(last)
+
+    def take(self, key, row):
+        _, side, id_, value = row
+        if side:
+            out = [(key[0], id_, other) for other, v in self.last[0] if value < v]
+        else:
+            out = [(key[0], other, id_) for other, v in self.last[1] if v < value]
+        self.last[side] = [*self.last[side], (id_, value)][-self.size:]
+        return out
+
+
+def row_windows_stream(rows: DataFrame, key: str, value: str, size: int, slide: int) -> DataFrame:
+    """WIN-3: (key, win_id, cnt, sum_v, first_idx) of the full row windows of a watermarked stream."""
+    src = rows.where(F.col("ts").isNotNull()).select(key, F.unix_micros("ts").alias("t"), F.col(value).cast("long").alias("v"), "ts")
+    kind = rows.schema[key].dataType.simpleString()
+    return ordered(src, [key], RowWindows(size, slide, key), f"{key} {kind}, win_id long, cnt long, sum_v long, first_idx long")
+
+
+def row_join_stream(rows: DataFrame, key: str, side: str, id_: str, value: str, size: int) -> DataFrame:
+    """JN-2: (key, l_id, r_id) of a watermarked stream whose column ``side`` is 1 for left rows."""
+    src = rows.where(F.col("ts").isNotNull()).select(key, F.unix_micros("ts").alias("t"), F.col(side).cast("long").alias("side"),
+                                                     F.col(id_).cast("long").alias("id"), F.col(value).cast("double").alias("value"), "ts")
+    kind = rows.schema[key].dataType.simpleString()
+    return ordered(src, [key], RowJoin(size, key), f"{key} {kind}, l_id long, r_id long")
+
+
 def ordered(stream: DataFrame, keys: list[str], processor: InEventTimeOrder, schema: str, event_time: str = "") -> DataFrame:
     """Apply a processor per key in append mode; ``event_time`` names the output's time for the next
     stateful operator of the query."""
