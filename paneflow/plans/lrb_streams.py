@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.plans import lrb
-from paneflow.plans.registry import alias, register
+from paneflow.functions import expr as E
+from paneflow.operators import windows as W
+from paneflow.plans import lrb, params
+from paneflow.plans.registry import ORACLES, alias, register
 from paneflow.sources.tables import load
 from paneflow.streaming import processors as P
 from paneflow.streaming import runner
@@ -66,4 +68,30 @@ def str_8_stream(spark, d):
     return out.withColumn("pass_time", F.col("pass_time") - ORIGIN_S)
 
 
+def toll_stream(rep: DataFrame, threshold: int = params.LRB_TOLL_THRESHOLD) -> DataFrame:
+    """Q-LRB1 / JN-9 / JN-10 as one append-mode query: mean speed per 5 minutes and distinct vehicles per
+    minute, joined on the window end; stops in sliding windows of 120 s join them from the outside."""
+    end = F.window_time("window")
+    speed = W.tumbling(rep, f"{lrb.SPEED_WINDOW_S} seconds").groupBy("xway", "seg", "window").agg(F.avg("speed").alias("avg_speed")) \
+             .select(F.col("xway").alias("s_xway"), F.col("seg").alias("s_seg"), end.alias("s_end"), "avg_speed")
+    once = W.tumbling(rep, f"{lrb.VEHICLE_WINDOW_S} seconds").select("xway", "seg", "window", "vid").dropDuplicates(["xway", "seg", "window", "vid"])
+    vehicles = once.groupBy("xway", "seg", "window").agg(F.count(F.lit(1)).alias("vehicles")).select("xway", "seg", end.alias("end"), "vehicles")
+    both = vehicles.join(speed, (F.col("xway") == F.col("s_xway")) & (F.col("seg") == F.col("s_seg")) & (F.col("end") == F.col("s_end")))
+    stops = P.stop_changes(rep).where(F.col("kind") == P.STOP).select("xway", "seg", "ts")
+    hit = W.sliding(stops, f"{lrb.ACCIDENT_WINDOW_S} seconds", f"{lrb.ACCIDENT_SLIDE_S} seconds").groupBy("xway", "seg", "window") \
+           .agg(F.count(F.lit(1)).alias("n_stops")).select(F.col("xway").alias("a_xway"), F.col("seg").alias("a_seg"), end.alias("a_end"), "n_stops")
+    cg = both.join(hit, (F.col("xway") == F.col("a_xway")) & (F.col("seg") == F.col("a_seg")) & (F.col("end") == F.col("a_end")), "left")
+    acc = F.col("n_stops").isNotNull()
+    toll = F.when(acc, 0).otherwise(E.toll("vehicles", "avg_speed", threshold))
+    # the time of a window is its last microsecond
+    return cg.select((F.unix_micros("end") + 1 - ORIGIN_S * 1_000_000).alias("window_end"), "xway", "seg", "vehicles", "avg_speed",
+                     toll.cast("long").alias("toll"), acc.cast("int").alias("accident"))
+
+
+@register("q_lrb1_stream", ORACLES["q_lrb1"])
+def q_lrb1_stream(spark, d):
+    """The toll query over jittered drops: seven stateful operators in one query."""
+    return replayed(spark, d, "tolls", toll_stream)
+
+
 alias("udf_5_keyed_state_process_function", "str_6_stop_detector_stream")
