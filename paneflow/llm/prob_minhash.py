@@ -12,14 +12,14 @@ Classes.  Equal texts are one node (its md5), so groups of copies collapse befor
 else.  Each band of registers is a bucket key; texts of one bucket are candidates.  Instead
 of all pairs of a bucket, a round tests its members against few pivots and then contracts
 what is linked: first the member with most bucket company, then the most connected
-member that is still apart, then random pivots in growing number, and in the last round every pair
-of members that are still in different classes and were not tested.  No candidate pair is left
-untested unless its texts are in one class already, so classes are those of all pairs; groups
-of thousands of near copies cost a few tests per member.
+member that is still apart, then random pivots.  Members of buckets that still hold two classes then
+meet by a prefix index (:func:`prefixes`): similar texts share a shingle among the rarest fifth of each,
+so only members with such a shingle in common are paired.  No candidate pair is left untested unless its
+texts are in one class already or cannot be similar, so classes are those of all pairs; groups of
+thousands of near copies cost a few tests per member, and copies that were edited too much to be
+similar to anything have rare shingles of their own and meet nobody.
 
-In large buckets a pair is not formed at all when the shingles that only one text has already
-rule it out (:func:`may_link`, an exact bound): copies that were edited too much to be similar
-to anything cost nothing.
+Pairs that the shingles of one text alone rule out (:func:`may_link`, an exact bound) are not tested.
 
 Verification is exact on the shingle bags (32-bit shingle hashes): a pair is linked when
 its Jaccard similarity or its probability Jaccard similarity is at least 0.8.
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import blocks, durable, ship, text_of
+from paneflow.llm.common import blocks, durable, ship, stored, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -46,10 +46,11 @@ BANDS, ROWS = 24, 4       # a pair at 0.8 shares no band with probability 3e-6
 REGISTERS = BANDS * ROWS
 SEED = 0x9E3779B97F4A7C15
 #: Buckets of few members are tested whole in the second round; larger ones against pivots,
-#: this many random ones in the third round; the fourth tests every pair that remains.
+#: this many random ones in the third round; the fourth is the prefix index.
 FEW = 8
 CELLS = 64
-RANDOM_PIVOTS = 32
+RANDOM_PIVOTS = 8
+COUNTERS = 1 << 18        # counters of shingle frequency, by hash: what the prefix index orders by
 
 U = np.uint64
 
@@ -278,6 +279,67 @@ def verified(pairs: DataFrame, bag_rows: DataFrame) -> DataFrame:
     return j.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_counts(bag_rows: DataFrame) -> np.ndarray:
+    """How many of the bags hold a shingle, summed over the shingles of one counter."""
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(np.unique(np.frombuffer(x.as_buffer(), np.uint32)) % COUNTERS, minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "n"])
+
+    found = bag_rows.select("bag").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)                       # at most one row per counter
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefix_of(bag: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The shingles of one bag that an index must hold, rarest first.
+
+    Of two similar texts take the rarest shingle they share, in an order that all texts use.  What comes
+    before it in either text is not shared.  With a Jaccard similarity of ``least`` at most 1 - ``least``
+    of a text's distinct shingles are not shared, with a probability Jaccard similarity of ``least`` at
+    most 1 - ``least`` of its occurrences (that similarity is at most the shared part of either bag).  So
+    the shared shingle lies in both prefixes: those with at most that much before them."""
+    v, c = np.unique(bag, return_counts=True)
+    order = np.lexsort((v, counts[v % COUNTERS]))
+    v, c = v[order], c[order]
+    rest = 1 - least + 1e-9
+    return v[(np.arange(len(v)) <= rest * len(v)) | (np.cumsum(c) - c <= rest * c.sum())]
+
+
+def prefixes(bag_rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, node): the prefix of each bag."""
+    def run(batches):
+        for batch in batches:
+            found = [prefix_of(np.frombuffer(x.as_buffer(), np.uint32), counts).astype(np.int64) for x in batch.column(1)]
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), node], names=["shingle", "node"])
+
+    return bag_rows.select("node", "bag").mapInArrow(run, "shingle long, node binary")
+
+
+def rare_pairs(members: DataFrame, bag_rows: DataFrame) -> DataFrame:
+    """(a, b): members (node, label, s) of different classes that share a shingle of their prefixes."""
+    mine = bag_rows.join(members.select("node"), "node")
+    side = members.select("node", "label", F.col("s.n").alias("n"), (F.col("s.n") == F.col("s.total")).alias("plain"))
+    index = stored(prefixes(mine, shingle_counts(mine)).join(side, "node"))
+    # a shingle of one member pairs nothing; the rest is stored, so that a busy shingle can be split
+    busy = stored(index.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where(F.col("lo") != F.col("hi")).select("shingle"))
+    index = stored(index.join(busy, "shingle"))
+    x, y = index.alias("x"), index.alias("y")
+    # texts without repeated shingles are similar by one measure, which bounds their sizes
+    sizes = ((F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (SIMILARITY - 1e-9)) | ~F.col("x.plain") | ~F.col("y.plain"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node"))
+                   & (F.col("x.label") != F.col("y.label")) & sizes)
+    pairs = stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    of = lambda c, to: members.select(F.col("node").alias(c), F.col("s").alias(to))
+    return pairs.join(of("a", "s"), "a").join(of("b", "t"), "b").where(may_link()).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node of its component.
 
@@ -287,7 +349,8 @@ def components(links: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.where(F.col("b") < F.col("a"))
-        low = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+        # stored: a join of two plain shuffles can split a node with very many neighbours
+        low = stored(near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m")))
         moved = near.join(low, F.col("a") == F.col("c"))
         if large:
             return moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -298,7 +361,7 @@ def components(links: DataFrame) -> DataFrame:
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     mark = None
     while True:
-        e = durable(star(star(e, True), False).distinct())
+        e = stored(star(star(e, True), False).distinct())
         # a finished graph is a set of stars: every node has one neighbour, a centre
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == mark:
@@ -347,7 +410,7 @@ def _hubs(links: DataFrame) -> DataFrame:
     one for the whole component.  Each node looks to the neighbour with most links, then to
     that one's choice, so a star gets one label in one step."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("d")))
     seen = both.join(degree.select(F.col("a").alias("b"), "d"), "b").groupBy("a").agg(F.max(F.struct("d", F.col("b").alias("to"))).alias("n"))
     choice = durable(seen.join(degree, "a").select("a", F.greatest("n", F.struct("d", F.col("a").alias("to")))["to"].alias("to")))
     return (choice.join(choice.select(F.col("a").alias("to"), F.col("to").alias("label")), "to")
@@ -388,15 +451,17 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
             p = p.union(as_pivots(m.where(F.col("n") <= FEW)))
         elif turn == 2:
             p = as_pivots(m.where(F.pmod(F.xxhash64("node", F.lit(SEED % 1000)), F.col("n")) < RANDOM_PIVOTS))
+        if turn < 3:
+            pairs = (m.join(p, "bucket").where((F.col("label") != F.col("with")) & may_link())
+                     .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
         else:
-            p = as_pivots(m)
-        pairs = (m.join(p, "bucket").where((F.col("label") != F.col("with")) & may_link())
-                 .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+            pairs = rare_pairs(durable(m.dropDuplicates(["node"]).select("node", "label", "s")), bag_rows)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
+        # tables, not checkpoints: a checkpoint hands on the constraints of its plan, and the planner multiplies them
+        pairs = stored(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        new = durable(verified(pairs, bag_rows))
+        new = stored(verified(pairs, bag_rows))
         links = new if links is None else links.union(new)
     return components(links)
 

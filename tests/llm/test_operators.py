@@ -385,6 +385,22 @@ def brute_classes(rows):
     return {i: top(i) for i in bags}
 
 
+def test_similar_texts_share_a_prefix_shingle():
+    """Exact at the bound, whatever the order: plain and weighted, and with equal counters."""
+    r = np.random.default_rng(11)
+    hits = 0
+    for turn in range(400):
+        a = r.integers(0, 60, r.integers(5, 60)).astype(np.uint32)
+        b = np.where(r.random(len(a)) < 0.1, r.integers(0, 80, len(a)).astype(np.uint32), a)
+        b = np.sort(np.concatenate([b, np.repeat(b[:1], r.integers(0, 6))]))
+        a = np.sort(a)
+        counts = r.integers(0, 1 if turn % 4 == 0 else 9, prob_minhash.COUNTERS)
+        if prob_minhash.similar(a, b):
+            hits += 1
+            assert np.intersect1d(prob_minhash.prefix_of(a, counts), prob_minhash.prefix_of(b, counts)).size
+    assert hits > 30
+
+
 def test_classes(spark, docs_sf):
     from .conftest import prose
     base = prose(3, 200).split()
