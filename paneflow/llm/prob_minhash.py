@@ -311,14 +311,15 @@ def prefix_of(bag: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) ->
 
 
 def prefixes(bag_rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shingle, node): the prefix of each bag."""
+    """(shingle, node, place): the prefix of each bag, with how many of its shingles are rarer."""
     def run(batches):
         for batch in batches:
             found = [prefix_of(np.frombuffer(x.as_buffer(), np.uint32), counts).astype(np.int64) for x in batch.column(1)]
             node = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), node], names=["shingle", "node"])
+            place = pa.array(np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in found)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), node, place], names=["shingle", "node", "place"])
 
-    return bag_rows.select("node", "bag").mapInArrow(run, "shingle long, node binary")
+    return bag_rows.select("node", "bag").mapInArrow(run, "shingle long, node binary, place long")
 
 
 def rare_pairs(members: DataFrame, bag_rows: DataFrame) -> DataFrame:
@@ -331,8 +332,10 @@ def rare_pairs(members: DataFrame, bag_rows: DataFrame) -> DataFrame:
                    .where(F.col("lo") != F.col("hi")).select("shingle"))
     index = stored(index.join(busy, "shingle"))
     x, y = index.alias("x"), index.alias("y")
-    # texts without repeated shingles are similar by one measure, which bounds their sizes
-    sizes = ((F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (SIMILARITY - 1e-9)) | ~F.col("x.plain") | ~F.col("y.plain"))
+    # texts without repeated shingles are similar by one measure: they share at least this many, so at
+    # most the rest of either stands before the first one that they share
+    common = F.ceil((F.col("x.n") + F.col("y.n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    sizes = ((F.col("x.place") <= F.col("x.n") - common) & (F.col("y.place") <= F.col("y.n") - common)) | ~F.col("x.plain") | ~F.col("y.plain")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node"))
                    & (F.col("x.label") != F.col("y.label")) & sizes)
     pairs = stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
