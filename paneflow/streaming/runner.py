@@ -191,7 +191,8 @@ def split_late(stream: DataFrame, name: str, ts: str = "ts", delay_us: int = 0,
 
     run_foreach_batch(stream, name, write, base=base)
     read = spark.read.schema(stream.schema)
-    return read.parquet(outs["in_time"]), read.parquet(outs["late"])
+    in_time, late = (read.parquet(outs[side]).select(*stream.columns) for side in ("in_time", "late"))
+    return in_time, late
 
 
 def state_rows(spark: SparkSession, base: str, side: str | None = None, operator: int = 0) -> int:
