@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from paneflow.llm.common import spread
 
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 1_500_000
 FIRST = "\0"               # leads the key of a chunk without a blank before it
 LINE = "\n"
 ALONE = {"": " ", FIRST: "", LINE: LINE}  # keys that cannot share a call with others
