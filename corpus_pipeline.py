@@ -1,6 +1,12 @@
 """The corpus pipeline: each stage applies one operator of :mod:`paneflow.llm` to all that
 its predecessor kept.  A stage takes ``(spark, docs, sf_dir)``; its result is written as
-Parquet and read again as the next stage's ``docs``."""
+Parquet and read again as the next stage's ``docs``.
+
+Defined results on odd rows: a null text counts as empty everywhere, and the quality rules reject it
+(under 20 words) as any other short text.  Rows without a ``doc_id`` are judged by their text, keep
+all their lines, have no near-duplicates and stay; repeated rows are equal texts, of which one stays.
+Very long texts are read whole.  Further columns of any name pass through all stages but the last, which
+returns placements.  An empty table gives no rows."""
 
 from __future__ import annotations
 
