@@ -48,3 +48,20 @@ def test_empty(spark, no_docs):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_odd_rows(spark, odd_docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns through all stages in turn."""
+    docs, left = odd_docs, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if name != "packing":
+            assert docs.columns == odd_docs.columns and docs.select("row").distinct().count() <= 1
+        left[name] = collections.Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    kept = collections.Counter(r["doc_id"] for r in quality_ledger.digest(odd_docs).collect() if r["kept"])
+    assert left["quality_rules"] == kept == left["line_dedup"]
+    classes = {r["doc_id"] for r in odd_docs.collect() if r["doc_id"] in kept}
+    assert set(left["near_duplicates"]) <= classes | {None} and left["near_duplicates"] == left["personal_data"]
+    assert all(left["near_duplicates"][i] <= 1 for i in classes if i is not None)
+    assert set(left["packing"]) == set(left["personal_data"])
