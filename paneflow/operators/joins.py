@@ -237,3 +237,13 @@ def cogroup_exists(left: DataFrame, right: DataFrame, keys: Sequence[str],
     keys = list(keys)
     r = right.select(*keys).distinct().withColumn(flag, F.lit(True))
     return left.join(r, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def cogroup_apply(left: DataFrame, right: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
+    """UDF-6: a user function over the cogroup of two frames.
+
+    ``fn(left rows, right rows) -> rows`` (pandas frames, one of them empty where a side lacks the key) sees
+    all rows of a key at once, so give it sides that are aggregated to a bounded number of rows per key.
+    """
+    l_, r_ = left.toDF(*left.columns), right.toDF(*right.columns)   # fresh columns: the sides may share a source
+    return l_.groupBy(*keys).cogroup(r_.groupBy(*keys)).applyInPandas(fn, schema)

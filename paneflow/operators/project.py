@@ -24,15 +24,17 @@ def update_columns(df: DataFrame, updates: dict[str, Column], keep: Column | Non
     return r.filter(keep) if keep is not None else r
 
 
-def par_do(df: DataFrame, fn: Callable[["object"], "object"], schema: str) -> DataFrame:
+def par_do(df: DataFrame, fn: Callable[["object"], "object"], schema: str, rows: int | None = None) -> DataFrame:
     """PRJ-6 / UDF-2: element-wise user code on Arrow batches (``mapInPandas``).
 
     ``fn(pandas.DataFrame) -> pandas.DataFrame`` may emit 0..n rows per input row;
-    it runs once per Arrow batch inside the task that reads the partition.
+    it runs once per Arrow batch inside the task that reads the partition, or once per ``rows`` rows
+    of one (for functions whose output is much larger than their input).
     """
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            yield fn(pdf)
+            for k in range(0, len(pdf), rows or max(1, len(pdf))):
+                yield fn(pdf.iloc[k:k + (rows or len(pdf))])
     return df.mapInPandas(run, schema)
 
 

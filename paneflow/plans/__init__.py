@@ -13,3 +13,4 @@ from paneflow.plans import operators  # noqa: F401
 from paneflow.plans import sources  # noqa: F401
 from paneflow.plans import stream_sources  # noqa: F401
 from paneflow.plans import row_streams  # noqa: F401
+from paneflow.plans import dags  # noqa: F401

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from paneflow.functions import expr as E
 from paneflow.functions import predicates as P
 from paneflow.operators import aggregate as A
+from paneflow.operators import joins as J
 from paneflow.operators import project as PR
 from paneflow.operators import windows as W
-from paneflow.plans import params
+from paneflow.plans import lrb, params
 from paneflow.plans.registry import ORACLES, alias, register
 from paneflow.plans.sqlviews import with_views
 from paneflow.sources import fixtures as X
@@ -324,8 +325,6 @@ def agg_25(spark, d):
     return second.select(*W.bounds("window"), "active_user_hours", "events", "max_per_user_hour")
 
 
-alias("str_10_multi_query_dag", "agg_25_chained_aggregate")
-
 # ---------------------------------------------------------------- windows
 
 
@@ -368,10 +367,22 @@ def win_5_stream(spark, d):
                          jitter_us=params.HOUR_US)
 
 
-@register("win_7_processing_time_window")
+@register("win_7_processing_time_window", """
+SELECT event_type, count(*) AS cnt, true AS in_run FROM events GROUP BY 1""")
 def win_7(spark, d):
-    w = W.processing_time(_ev(spark, d).select("event_id"), "10 minutes")
-    return w.groupBy("window").agg(F.count(F.lit(1)).alias("cnt"))
+    """Wall-clock windows over four drops, in complete mode.  The windows differ from run to run, so the
+    query returns what does not: rows per type over all windows, and whether every window is of this run."""
+    ev, size_s = _ev(spark, d).select("event_id", "event_type", "ts"), 2
+    now = lambda: spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    began = now()
+
+    def run(s, base):
+        g = W.processing_time(s, f"{size_s} seconds").groupBy("window", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+        return runner.run_complete(g.select(*W.bounds("window"), "event_type", "cnt"), "wall", base=base)
+
+    out = runner.replay(ev, "wall", run, slices=4, close=False)
+    inside = (F.col("window_end") > F.lit(began)) & (F.col("window_start") <= F.lit(now()))
+    return out.groupBy("event_type").agg(F.sum("cnt").alias("cnt"), F.bool_and(inside).alias("in_run"))
 
 
 @register("win_8_window_assign", f"""
@@ -521,7 +532,7 @@ def udf_2(spark, d):
         rows = [(i, w.upper()) for i, t in zip(pdf["doc_id"], pdf["text"]) for w in _WORD_RE.findall(t or "")]
         return pd.DataFrame(rows, columns=["doc_id", "word"])
     docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
-    words = PR.par_do(docs, split_words, "doc_id long, word string")
+    words = PR.par_do(docs, split_words, "doc_id long, word string", rows=16)
     return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -535,4 +546,38 @@ def udf_7(spark, d):
     return PR.apply_operator(_ev(spark, d), lambda df: ysb_campaign_counts(df))
 
 
-alias("udf_6_join_cogroup_functions", "jn_10_window_cogroup")
+def _road_tolls(speeds, stopped):
+    """User function of UDF-6: the tolls of one window from its segments and those with a stop."""
+    out = speeds.merge(stopped.assign(accident=1), on=["window_end", "xway", "seg"], how="left")
+    out["accident"] = out["accident"].fillna(0).astype("int32")
+    over = out["vehicles"] - params.LRB_TOLL_THRESHOLD
+    due = (over > 0) & (out["avg_speed"] < 40) & (out["accident"] == 0)
+    out["toll"] = (2 * over * over).where(due, 0)
+    return out[["window_end", "xway", "seg", "vehicles", "avg_speed", "toll", "accident"]]
+
+
+@register("udf_6_join_cogroup_functions", ORACLES["q_lrb1"])
+def udf_6(spark, d):
+    """Q-LRB1 with its toll rule as a user function over the cogroup of a window's segments.  Both sides are
+    aggregated before, so a group holds at most one row per segment of the road network."""
+    rep = lrb.reports(_ev(spark, d))
+    both = J.window_equi_join(lrb.segment_vehicles(rep), lrb.segment_speed(rep), ["xway", "seg", "window_end"])
+    return J.cogroup_apply(both, lrb.accident_windows(rep), ["window_end"], _road_tolls,
+                           "window_end long, xway long, seg long, vehicles long, avg_speed double, toll long, accident int")
+
+
+@register("agg_4_grouped_window_aggregate", f"""
+SELECT {ws(D)} AS window_start, {ws(D)} + {D} AS window_end, CAST(user_id % 3 AS INTEGER) AS k_int, event_id % 5 AS k_long,
+       CAST(CAST(floor(value / 64) / 4 AS FLOAT) AS DOUBLE) AS k_float, user_id % 2 AS k_hi, event_id % 2 AS k_lo,
+       count(*) AS cnt, CAST(sum({V100}) AS BIGINT) AS sum_v
+FROM events GROUP BY ALL""")
+def agg_4(spark, d):
+    """Keys of every type: int, long, float and a 128-bit pair."""
+    keyed = _v100(_ev(spark, d)).select(
+        "ts", "v100", (F.col("user_id") % 3).cast("int").alias("k_int"), (F.col("event_id") % 5).alias("k_long"),
+        (F.floor(F.col("value") / 64) / 4).cast("float").alias("k_float"),
+        F.struct((F.col("user_id") % 2).alias("hi"), (F.col("event_id") % 2).alias("lo")).alias("k_wide"))
+    g = A.window_aggregate(W.tumbling(keyed, "1 day"), "window", ["k_int", "k_long", "k_float", "k_wide"],
+                           [F.count(F.lit(1)).alias("cnt"), F.sum("v100").alias("sum_v")])
+    return g.select("window_start", "window_end", "k_int", "k_long", F.col("k_float").cast("double").alias("k_float"),
+                    F.col("k_wide.hi").alias("k_hi"), F.col("k_wide.lo").alias("k_lo"), "cnt", "sum_v")

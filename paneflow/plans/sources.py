@@ -14,6 +14,7 @@ from paneflow.operators import windows as W
 from paneflow.plans import params
 from paneflow.plans.registry import register
 from paneflow.plans.sqlviews import with_views
+from paneflow.session import cut_lineage
 from paneflow.sources import files as FS
 from paneflow.sources import fixtures as X
 from paneflow.sources.eventtime import assign_event_time
@@ -155,8 +156,8 @@ def src_6(spark, d):
 @register("src_12_preload", """
 SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1""")
 def src_12(spark, d):
-    ev = FS.preload(load(spark, d, "events").select("event_type", "event_id"))
-    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    with FS.preloaded(load(spark, d, "events").select("event_type", "event_id")) as ev:
+        return cut_lineage(ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")))
 
 
 @register("src_13_file_drop_two_streams", f"""

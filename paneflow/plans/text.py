@@ -18,8 +18,10 @@ from paneflow.operators import aggregate as A
 from paneflow.operators import windows as W
 from paneflow.plans import params
 from paneflow.plans.registry import alias, register
+from paneflow.sources import files as FS
 from paneflow.sources.eventtime import assign_event_time
 from paneflow.sources.tables import load
+from paneflow.streaming.runner import scratch_path
 
 BUNDLE, WIN = params.TEXT_BUNDLE, params.TEXT_WINDOW
 WIN_US = W.to_us(WIN)
@@ -217,7 +219,9 @@ def agg_18(spark, d):
 @register("fn_8_keyword_score", SQL_DOC_SCORE)
 def fn_8(spark, d):
     docs = load(spark, d, "documents", spread=True).select("doc_id", "text")
-    return T.keyword_score(docs, keyword_table(spark), ["doc_id"])
+    path = scratch_path(spark, "dictionary")
+    FS.write_pairs(keyword_table(spark), path)
+    return T.keyword_score(docs, FS.read_pairs(spark, path, "word string, score long"), ["doc_id"])
 
 
 @register("fn_4_word_tokenizer", SQL_TOKENS)
@@ -246,5 +250,3 @@ alias("top_1_topk_per_window", "q_topk")
 alias("fn_6_regex_find_all", "q_grep")
 alias("agg_13_windowed_distinct", "q_dist")
 alias("jn_11_branch_join_window_end", "q_tweet")
-alias("str_11_two_branches_joined", "q_tweet")
-alias("src_11_fan_out", "q_tweet")

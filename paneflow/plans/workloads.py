@@ -101,5 +101,4 @@ def prj_2(spark, d):
 
 
 alias("flt_6_500_way_or", "q_w3")
-alias("agg_4_grouped_window_aggregate", "q_w1")
 alias("agg_7_ungrouped_reduction", "q_w2")

@@ -22,8 +22,10 @@ from paneflow.operators import windows as W
 from paneflow.plans import params
 from paneflow.plans.registry import alias, register
 from paneflow.plans.sqlviews import with_views
+from paneflow.sources import files as FS
 from paneflow.sources import fixtures as X
 from paneflow.sources.tables import load
+from paneflow.streaming.runner import scratch_path
 
 H = params.HOUR_US
 
@@ -75,10 +77,13 @@ def ysb_count_window(events: DataFrame, n: int = params.COUNT_WINDOW_ROWS) -> Da
     return joined.groupBy("win_id", "campaign_id").agg(F.count(F.lit(1)).alias("events"))
 
 
-def ysb_purchase_lookup(events: DataFrame, window=params.YSB_WINDOW) -> DataFrame:
-    """Q-YSB5 / JN-6: purchase events enriched ad → campaign by lookup, count per window."""
+def ysb_purchase_lookup(events: DataFrame, window=params.YSB_WINDOW,
+                        campaigns: DataFrame | None = None) -> DataFrame:
+    """Q-YSB5 / JN-6: purchase events enriched ad → campaign by lookup, count per window
+    (``campaigns``: static dimension)."""
     ev = X.ad_events(events).filter(F.col("event_type") == "purchase").select("ts", "ad_id")
-    joined = J.stream_static_join(ev, X.campaigns(events), "ad_id", dim_bounded=True)
+    dim = campaigns if campaigns is not None else X.campaigns(events)
+    joined = J.stream_static_join(ev, dim, "ad_id", dim_bounded=campaigns is None)
     w = W.tumbling(joined, window)
     return A.window_aggregate(w, "window", ["campaign_id"], [F.count(F.lit(1)).alias("events")])
 
@@ -175,6 +180,14 @@ def q_ysb5_collect(spark, d):
     return ysb_purchase_collect(_ev(spark, d))
 
 
+@register("jn_6_lookup_enrichment", SQL_YSB5)
+def jn_6(spark, d):
+    """The lookup against a dimension file."""
+    ev, path = _ev(spark, d), scratch_path(spark, "campaigns")
+    FS.write_pairs(X.campaigns(ev), path)
+    return ysb_purchase_lookup(ev, campaigns=FS.read_pairs(spark, path, "ad_id long, campaign_id long"))
+
+
 # inventory rows served by these queries
 alias("agg_9_campaign_count", "q_ysb3")
 alias("jn_5_stream_static_join", "q_ysb3")
@@ -183,5 +196,4 @@ alias("agg_8_ysb_keyed_sum", "q_ysb1")
 alias("win_10_keyed_window_reduce", "q_ysb1")
 alias("agg_10_campaign_count_window", "q_ysb2")
 alias("win_4_count_tumbling", "q_ysb4")
-alias("jn_6_lookup_enrichment", "q_ysb5")
 alias("agg_14_collect_all", "q_ysb5_collect")

@@ -10,6 +10,8 @@ big-endian, C++ writers the native order).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyarrow import fs as pa_fs
@@ -187,11 +189,27 @@ def file_drop_stream(spark: SparkSession, path: str, schema: T.StructType,
     return r.parquet(path)
 
 
-def preload(df: DataFrame) -> DataFrame:
-    """SRC-12: materialise the whole input before running (``persist`` + action).
+@contextmanager
+def preloaded(df: DataFrame):
+    """SRC-12: the whole input materialised before running (``persist`` + action), and released at
+    the end of the block.
 
-    Memory-and-disk, so partitions that do not fit spill instead of failing."""
+    Memory-and-disk, so partitions that do not fit spill instead of failing.  A result that leaves the
+    block should be stored in it; otherwise it is computed again from the source."""
     from pyspark import StorageLevel
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    p.count()
-    return p
+    try:
+        p.count()
+        yield p
+    finally:
+        p.unpersist()
+
+
+def write_pairs(df: DataFrame, path: str) -> None:
+    """A two-column dictionary or dimension as tab-separated text files."""
+    df.write.option("sep", "\t").csv(path)
+
+
+def read_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JN-6 / FN-8: a dictionary or dimension of tab-separated text lines (``schema`` names the two columns)."""
+    return spark.read.schema(schema).option("sep", "\t").csv(path)

@@ -202,27 +202,57 @@ def state_rows(spark: SparkSession, base: str, side: str | None = None, operator
     return (r.option("joinSide", side) if side else r).load().count()
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
+def fan_out(stream: DataFrame, name: str, branches: dict[str, Callable[[DataFrame], DataFrame]],
+            base: str | None = None) -> dict[str, DataFrame]:
+    """SRC-11 / STR-11: one source feeding several branches.
+
+    Each epoch is read once, kept, and handed to every branch, a function of the epoch's rows; a branch
+    has a table of its own with a folder per epoch, so an epoch that is run again replaces its rows in
+    all of them.  A branch that aggregates leaves one partial result per epoch.  ``base`` as in
+    :func:`run_to_table`.
+    """
+    spark = stream.sparkSession
+    base = base or scratch_path(spark, name)
+    outs = {b: os.path.join(base, f"branch-{b}") for b in branches}
+    schemas = {b: fn(spark.createDataFrame([], stream.schema)).schema for b, fn in branches.items()}
+    for b, path in outs.items():
+        spark.createDataFrame([], schemas[b]).write.mode("ignore").parquet(os.path.join(path, "epoch=-1"))
+
+    def write(df: DataFrame, epoch_id: int) -> None:
+        df = df.persist()
+        try:
+            for b, fn in branches.items():
+                fn(df).write.mode("overwrite").parquet(os.path.join(outs[b], f"epoch={epoch_id}"))
+        finally:
+            df.unpersist()
+
+    run_foreach_batch(stream, name, write, base=base)
+    return {b: spark.read.schema(schemas[b]).parquet(path).select(*schemas[b].names) for b, path in outs.items()}
+
+
+def run_complete(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """STR-12: run an aggregate in ``complete`` mode; every epoch's output replaces the
     previous snapshot folder (idempotent), and the final snapshot is returned, windows that
-    are still open included."""
+    are still open included.  ``base`` as in :func:`run_to_table`."""
     spark = stream.sparkSession
-    out = os.path.join(scratch_path(spark, name), "snapshot")
+    base = base or scratch_path(spark, name)
+    out = os.path.join(base, "snapshot")
 
     def write(df: DataFrame, epoch_id: int) -> None:
         df.write.mode("overwrite").parquet(out)
 
-    run_foreach_batch(stream, name, write, output_mode="complete")
+    run_foreach_batch(stream, name, write, output_mode="complete", base=base)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_update(stream: DataFrame, name: str, keys: list[str], base: str | None = None) -> DataFrame:
     """STR-12: run an aggregate in ``update`` mode.  An epoch holds only the rows that
     changed, so each epoch keeps a folder of its own and a key's row is the one of its
-    latest epoch."""
+    latest epoch.  ``base`` as in :func:`run_to_table`."""
     spark = stream.sparkSession
-    out = os.path.join(scratch_path(spark, name), "epochs")
-    run_foreach_batch(stream, name, idempotent_parquet_batches(out), output_mode="update")
+    base = base or scratch_path(spark, name)
+    out = os.path.join(base, "epochs")
+    run_foreach_batch(stream, name, idempotent_parquet_batches(out), output_mode="update", base=base)
     rows = spark.read.schema(stream.schema.add("epoch", "long")).parquet(out)
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"))
