@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paneflow.llm import (
     bwt_dedup,
@@ -282,6 +283,36 @@ def test_write_shards(spark, docs_sf, tmp_path):
     assert sorted(r["text"] for r in back.collect()) == sorted(t for _, t in pairs(docs_sf))
 
 
+def test_equal_records_fill_all_buckets(spark):
+    """A record that all rows repeat is scattered like different ones."""
+    same = spark.range(20_000).selectExpr("7L AS doc_id", "'same' AS text")
+    placed, n, buckets = external_shuffle._placed(same, 500, 1 << 30)
+    assert (n, buckets) == (20_000, 40)
+    held = placed.select(F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(40)).alias("b")).groupBy("b").count().collect()
+    assert len(held) == 40 and max(r["count"] for r in held) < 1_000
+    out = external_shuffle.assign(same, bucket_rows=500).groupBy("shard").agg(F.count("*"), F.countDistinct("slot"), F.max("slot")).collect()
+    assert all(a == b == c + 1 for _, a, b, c in out) and sum(r[1] for r in out) == 20_000
+
+
+def test_buckets_follow_bytes(spark):
+    """Long texts, arrays and maps make more buckets of fewer rows."""
+    df = spark.range(400).selectExpr("id", "repeat('x', 10000) AS text", "array(id, id) AS a", "map('k', id) AS m", "CAST(NULL AS STRING) AS z")
+    assert external_shuffle._placed(df, 50_000, 100_000)[2] >= 40
+    out = external_shuffle.assign(df, shards=7, bucket_bytes=100_000)
+    assert sorted(r["id"] for r in out.select("id").collect()) == list(range(400))
+
+
+def test_written_shards_read_back_in_slot_order(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    external_shuffle.write_shards(spark.range(5_000).selectExpr("id AS doc_id"), str(tmp_path / "s"), shards=3, bucket_rows=200)
+    for k in range(3):
+        files = sorted(glob.glob(f"{tmp_path}/s/shard={k}/*.parquet"))
+        slots = [x for f in files for x in pq.ParquetFile(f).read(columns=["slot"]).column(0).to_pylist()]
+        assert len(files) > 1 and slots == list(range(len(slots))) and len(slots) in (1666, 1667)
+
+
 # -- op6
 def test_byte_bpe(docs_sf, odd_docs):
     import tiktoken
