@@ -64,41 +64,51 @@ class ByteChunks:
         self._add(rest + odd, np.concatenate([flat[flat != self.line], *alone]),
                   np.concatenate([counts, np.array([len(x) for x in alone], np.int64)]))
 
-    def _places(self, keys: list[str]) -> np.ndarray:
-        """Places of distinct keys in the memo; new ones are learnt."""
+    def _places(self, keys: list[str], room: bool = True) -> np.ndarray:
+        """Places of distinct keys in the memo; new ones are learnt.  With ``room``, a memo that they
+        would overfill begins anew with these keys."""
         which = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(which < 0)
+        if room and self.memo and len(self.memo) + len(new) > MEMO_CHUNKS and len(new):
+            self.forget()
+            new = np.arange(len(keys))
         if len(new):
-            self.learn([keys[i] for i in new.tolist()])
-            which[new] = np.fromiter(map(self.memo.__getitem__, [keys[i] for i in new.tolist()]), np.int64, len(new))
+            names = [keys[i] for i in new.tolist()]
+            self.learn(names)
+            which[new] = np.fromiter(map(self.memo.__getitem__, names), np.int64, len(new))
         return which
 
     def _chunked(self, texts: pa.Array) -> list[np.ndarray]:
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         each = cut.flatten().dictionary_encode()
         ends = np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])
-        codes = each.indices.to_numpy().astype(np.int64)
+        codes, n = each.indices.to_numpy().astype(np.int64), len(each.dictionary)
+        # the first chunk of a text, a line feed, and what follows one have no blank before them
+        line = codes == pc.index(each.dictionary, LINE).as_py()
+        bare = np.concatenate([[False], line[:-1]])
+        bare[ends[:-1]] = True
+        codes[bare & ~line] += n                 # distinct chunks with a blank, then those without
+        used = np.flatnonzero(np.bincount(codes, minlength=2 * n))
         # of a word with one closing mark the pattern cuts off the mark: fewer distinct words
         marked = pc.match_substring_regex(each.dictionary, MARKED)
         stems = pc.if_else(marked, pc.utf8_slice_codeunits(each.dictionary, 0, -1), each.dictionary).dictionary_encode()
         mark = pc.if_else(marked, pc.utf8_slice_codeunits(each.dictionary, -1), "").dictionary_encode()
-        distinct = stems.dictionary.to_pylist()
-        if len(self.memo) + len(distinct) > MEMO_CHUNKS:
-            self.forget()
-        marks = self._places([FIRST + x for x in mark.dictionary.to_pylist()])[mark.indices.to_numpy()][codes]
-        codes = stems.indices.to_numpy().astype(np.int64)[codes]
-        # the first chunk of a text, a line feed, and what follows one have no blank before them
-        line = codes == (distinct.index(LINE) if LINE in distinct else -1)
-        bare = np.concatenate([[False], line[:-1]])
-        bare[ends[:-1]] = True
-        codes[bare & ~line] += len(distinct)     # places by code: with a blank, then without
-        used = np.flatnonzero(np.bincount(codes, minlength=2 * len(distinct)))
-        place = np.zeros(2 * len(distinct), np.int64)
-        place[used] = self._places([distinct[i] if i < len(distinct) else FIRST + distinct[i - len(distinct)] for i in used.tolist()])
-        which = np.stack([place[codes], marks], axis=1).ravel()
-        count = self.count[which]
-        ids = self.flat[spread(self.begin[which], count)]
-        ends = np.concatenate([[0], np.cumsum(count)])[2 * ends]
+        words, marks, m = stems.dictionary.to_pylist(), mark.dictionary.to_pylist(), len(stems.dictionary)
+        stem = stems.indices.to_numpy().astype(np.int64)[used % n] + np.where(used < n, 0, m)
+        wanted = np.flatnonzero(np.bincount(stem, minlength=2 * m))
+        at = np.zeros(2 * m, np.int64)
+        at[wanted] = self._places([words[i] if i < m else FIRST + words[i - m] for i in wanted.tolist()])
+        closing = self._places([FIRST + x for x in marks], room=False)   # a handful; the words keep their places
+        # the ids of each distinct chunk side by side, then those of all chunks
+        pair = np.stack([at[stem], closing[mark.indices.to_numpy()[used % n]]], axis=1).ravel()
+        each_count = self.count[pair]
+        flat = self.flat[spread(self.begin[pair], each_count)]
+        size = each_count.reshape(-1, 2).sum(axis=1)
+        sizes, begins = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+        sizes[used], begins[used] = size, np.cumsum(size) - size
+        count = sizes[codes]
+        ids = flat[spread(begins[codes], count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[ends]
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
