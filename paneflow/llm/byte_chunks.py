@@ -23,8 +23,11 @@ MEMO_CHUNKS = 1_000_000
 FIRST = "\0"               # leads the key of a chunk without a blank before it
 LINE = "\n"
 ALONE = {"": " ", FIRST: "", LINE: LINE}  # keys that cannot share a call with others
-#: Latin letters and one mark; a letter and a mark are never one piece of the pattern.
-MARKED = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[.,;:!?]$"
+#: Latin letters, then marks; the pattern takes the letters as one piece and the marks as another.  An
+#: apostrophe may begin a piece with letters in it, and is none of the marks.
+LETTERS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
+MARKED = LETTERS + r"[!-&(-/:-@\[-`{-~]+$"
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Runs that cannot be cut, other white space, and characters that count as white space in some libraries.
 WHOLE = (r"[ \n]{3}|[ \n]{2}\z|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}"
          r"\x{202f}\x{205f}\x{3000}\x{feff}]")
@@ -89,18 +92,20 @@ class ByteChunks:
         bare[ends[:-1]] = True
         codes[bare & ~line] += n                 # distinct chunks with a blank, then those without
         used = np.flatnonzero(np.bincount(codes, minlength=2 * n))
-        # of a word with one closing mark the pattern cuts off the mark: fewer distinct words
+        # of a word with closing marks the pattern cuts off the marks: fewer distinct words
         marked = pc.match_substring_regex(each.dictionary, MARKED)
-        stems = pc.if_else(marked, pc.utf8_slice_codeunits(each.dictionary, 0, -1), each.dictionary).dictionary_encode()
-        mark = pc.if_else(marked, pc.utf8_slice_codeunits(each.dictionary, -1), "").dictionary_encode()
-        words, marks, m = stems.dictionary.to_pylist(), mark.dictionary.to_pylist(), len(stems.dictionary)
+        stems = pc.if_else(marked, pc.utf8_rtrim(each.dictionary, MARKS), each.dictionary).dictionary_encode()
+        ends_in = pc.replace_substring_regex(each.dictionary.filter(marked), LETTERS, "").dictionary_encode()
+        words, marks, m = stems.dictionary.to_pylist(), ["", *ends_in.dictionary.to_pylist()], len(stems.dictionary)
+        mark = np.zeros(n, np.int64)
+        mark[marked.to_numpy(zero_copy_only=False)] = ends_in.indices.to_numpy() + 1
         stem = stems.indices.to_numpy().astype(np.int64)[used % n] + np.where(used < n, 0, m)
         wanted = np.flatnonzero(np.bincount(stem, minlength=2 * m))
         at = np.zeros(2 * m, np.int64)
         at[wanted] = self._places([words[i] if i < m else FIRST + words[i - m] for i in wanted.tolist()])
-        closing = self._places([FIRST + x for x in marks], room=False)   # a handful; the words keep their places
+        closing = self._places([FIRST + x for x in marks], room=False)   # so that the words keep their places
         # the ids of each distinct chunk side by side, then those of all chunks
-        pair = np.stack([at[stem], closing[mark.indices.to_numpy()[used % n]]], axis=1).ravel()
+        pair = np.stack([at[stem], closing[mark[used % n]]], axis=1).ravel()
         each_count = self.count[pair]
         flat = self.flat[spread(self.begin[pair], each_count)]
         size = each_count.reshape(-1, 2).sum(axis=1)
