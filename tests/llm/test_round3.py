@@ -303,3 +303,14 @@ def test_repair_of_odd_rows(spark, monkeypatch, bits):
     got = repaired(df)
     assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == len(want)
     assert repaired(df.limit(0)) == {}
+
+
+def test_chunk_memo_that_starts_anew(monkeypatch):
+    """Marks, apostrophes and white space in any order, with a memo that fits a few chunks only."""
+    monkeypatch.setattr(byte_chunks, "MEMO_CHUNKS", 50)
+    enc, r = byte_chunks.ByteChunks(P.path("byte_bpe_50k.json")), random.Random(1)
+    bits = ["a", "b.", "!", "$", "%%", "'", "l'a", "'s", "<", "[x]", "é#", " ", " ", "\n", "für", "the", "x!", "\t", "7", "7.5%", "日本", "…"]
+    for _ in range(300):
+        texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 4))] + [None]
+        for t, ids in zip(texts, enc.encode(pa.array(texts, pa.string())), strict=True):
+            assert ids.tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids
