@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,9 @@ def _schema(layout, fields=None) -> str:
     return ", ".join(f"`{n}` {_spark_type(t)}" for n, t in layout if fields is None or n in fields)
 
 
-#: Bytes of one range: what a task holds of a file at a time.
+#: Bytes of one range: what a task reads of a file; and the records it holds decoded at a time.
 RANGE_BYTES = 16 << 20
+BATCH_RECORDS = 16_384
 
 
 def _open_fs(path: str):
@@ -78,39 +80,62 @@ def _read(path: str, start: int, size: int) -> bytes:
         return f.read(size)
 
 
+def _pieces(path: str, start: int, size: int, piece: int):
+    """A range in pieces of at most ``piece`` bytes."""
+    fs, inner = _open_fs(path)
+    with fs.open_input_file(inner) as f:
+        f.seek(start)
+        while size > 0 and (raw := f.read(min(size, piece))):
+            size -= len(raw)
+            yield raw
+
+
 def subset(dt: np.dtype, keep: list[str]) -> np.dtype:
     """The record type with only the fields ``keep``; the other bytes are skipped."""
     return np.dtype({"names": keep, "formats": [dt.fields[n][0] for n in keep],
                      "offsets": [dt.fields[n][1] for n in keep], "itemsize": dt.itemsize})
 
 
-def decode_records(raw: bytes, part: np.dtype) -> dict[str, object]:
+def _strings(a: np.ndarray) -> pa.Array:
+    """A column of fixed-width byte strings as Arrow strings (latin-1, without the zero bytes at the end)."""
+    width = a.dtype.itemsize
+    flat = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), width)
+    if flat.size and flat.max() >= 0x80:
+        return pa.array(pd.Series(a).str.decode("latin-1").str.rstrip("\x00"), pa.string())
+    at = np.arange(1, width + 1, dtype=np.int32)
+    lengths = ((flat != 0) * at).max(axis=1, initial=0)
+    offsets = np.zeros(len(a) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(flat[at <= lengths[:, None]]))
+
+
+def decode_records(raw: bytes, part: np.dtype) -> dict[str, pa.Array]:
     """The fields of whole records as columns (bytes after the last whole record are left out)."""
     arr = np.frombuffer(raw, dtype=part, count=len(raw) // part.itemsize)
-    cols: dict[str, object] = {}
+    cols: dict[str, pa.Array] = {}
     for n in part.names:
         a = arr[n]
-        if a.dtype.kind == "S":
-            cols[n] = pd.Series(a).str.decode("latin-1").str.rstrip("\x00")
-        else:
-            cols[n] = a.astype("float64" if a.dtype.kind == "f" else "int64")
+        cols[n] = _strings(a) if a.dtype.kind == "S" else pa.array(a.astype("float64" if a.dtype.kind == "f" else "int64"))
     return cols
 
 
 def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = ">",
                      fields: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC-2 / SRC-4 / SRC-7 / SRC-8 batch reader; ``fields`` decodes only those
-    columns (SRC-3, early projection: the dtype is subset, other bytes are skipped)."""
+    columns (SRC-3, early projection: the dtype is subset, other bytes are skipped).  A task holds
+    ``BATCH_RECORDS`` records at a time, whatever the length of its ranges."""
     dt = dtype(layout, byte_order)
     keep = [n for n, _ in layout if fields is None or n in fields]
     part = subset(dt, keep)
+    piece = BATCH_RECORDS * dt.itemsize
 
     def decode(batches):
-        for pdf in batches:
-            for file, start, size in zip(pdf["path"], pdf["start"], pdf["size"], strict=True):
-                yield pd.DataFrame(decode_records(_read(file, int(start), int(size)), part))
+        for batch in batches:
+            for r in batch.select(["path", "start", "size"]).to_pylist():
+                for raw in _pieces(r["path"], r["start"], r["size"], piece):
+                    yield pa.RecordBatch.from_pydict(decode_records(raw, part))
 
-    return byte_ranges(spark, path, dt.itemsize, range_bytes).mapInPandas(decode, _schema(layout, keep))
+    return byte_ranges(spark, path, dt.itemsize, range_bytes).mapInArrow(decode, _schema(layout, keep))
 
 
 def read_chunks(spark: SparkSession, path: str, chunk_bytes: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -126,6 +151,24 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int, range_bytes: i
     return byte_ranges(spark, path, chunk_bytes, range_bytes).mapInPandas(cut, "path string, start bigint, chunk binary")
 
 
+def _fixed_bytes(a: pa.Array, kind: np.dtype) -> np.ndarray:
+    """An Arrow column as a column of fixed-width byte strings: latin-1, cut at the width."""
+    if not pa.types.is_string(a.type) or a.null_count or len(a) == 0:
+        return a.to_pandas().astype(str).str.encode("latin-1").values
+    offsets = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4)
+    data = a.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    used = data[offsets[0]:offsets[-1]]
+    if used.size and used.max() >= 0x80:
+        return a.to_pandas().str.encode("latin-1").values
+    lengths = np.minimum(np.diff(offsets), kind.itemsize)
+    at = np.arange(kind.itemsize)
+    filled = at < lengths[:, None]
+    flat = np.zeros((len(a), kind.itemsize), np.uint8)
+    flat[filled] = data[(offsets[:-1, None] + at)[filled]]
+    return flat.view(kind).reshape(len(a))
+
+
 def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">") -> int:
     """Write ``df`` (columns named as the layout) as fixed-width records into ``out_dir`` (a
     folder on shared storage).  Returns the record count.
@@ -146,20 +189,20 @@ def write_fixed_width(df: DataFrame, out_dir: str, layout, byte_order: str = ">"
         attempt = f"{inner}/_attempts/{task.partitionId()}-{task.taskAttemptId()}"
         n = 0
         with fs.open_output_stream(attempt) as f:
-            for pdf in batches:
-                arr = np.zeros(len(pdf), dtype=dt)
+            for batch in batches:
+                arr = np.zeros(batch.num_rows, dtype=dt)
                 for c in names:
-                    v = pdf[c]
-                    arr[c] = v.astype(str).str.encode("latin-1").values if dt[c].kind == "S" else v.values
+                    v = batch.column(c)
+                    arr[c] = _fixed_bytes(v, dt[c]) if dt[c].kind == "S" else v.to_pandas().values
                 f.write(arr.tobytes())
-                n += len(pdf)
+                n += batch.num_rows
         fs.move(attempt, f"{inner}/part-{task.partitionId():05d}.bin")
-        yield pd.DataFrame({"part": [task.partitionId()], "records": [n]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "records": pa.array([n], pa.int64())})
 
     fs, inner = _open_fs(out_dir)
     if fs.get_file_info(f"{inner}/_SUCCESS").is_file:
         fs.delete_file(f"{inner}/_SUCCESS")
-    done = df.select(*names).mapInPandas(write, "part int, records bigint").collect()  # one row per task
+    done = df.select(*names).mapInArrow(write, "part int, records bigint").collect()  # one row per task
     fs.create_dir(inner, recursive=True)
     written = {f"part-{r['part']:05d}.bin" for r in done}
     for info in fs.get_file_info(pa_fs.FileSelector(inner)):
