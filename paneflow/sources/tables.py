@@ -9,9 +9,10 @@ Parquet reader.
 
 from __future__ import annotations
 
+import math
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,21 +39,35 @@ def _fix_ntz(df: DataFrame) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Batch read of one test table with NTZ columns cast to ``timestamp``.
 
-    ``spread=True`` is for tables with heavy per-row work (whole texts): when the scan
-    yields fewer partitions than the cluster's default parallelism (a small file or a
-    single Parquet row group), rows are redistributed round-robin so tokenising uses
-    every core.  At scale the scan already has thousands of splits and nothing moves.
+    ``spread=True`` is for tables with heavy per-row work (whole texts): unless the scan has
+    a split per ``SPREAD_BYTES`` of the rows (a small file has fewer splits than the cluster has
+    cores, one of large row groups has splits without rows), rows are redistributed, so
+    tokenising uses every core and a task's share does not grow with the table.
     """
     df = _fix_ntz(spark.read.parquet(table_path(sf_dir, name)))
     return spread_rows(df) if spread else df
 
 
+#: Bytes of rows that one task of a spread table gets.
+SPREAD_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: its strings and eight for each other column."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, t in df.dtypes if t in ("string", "binary")]
+    return sum(texts, F.lit(8 * (len(df.columns) - len(texts))).cast("long"))
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the default parallelism if the frame has fewer partitions."""
+    """Repartition to a partition per ``SPREAD_BYTES``, the default parallelism at least, if the frame has fewer.
+
+    The bytes are those of the rows: a compressed file says little about them, nor do its splits.  Rows go by a hash of their first two columns (key and text): unlike round robin, that needs no sort of
+    the rows in the task that reads them."""
     if df.isStreaming:
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    n_bytes = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / SPREAD_BYTES))
+    return df.repartition(parts, *df.columns[:2]) if df.rdd.getNumPartitions() < parts else df
 
 
 def load_stream(spark: SparkSession, sf_dir: str, name: str,
