@@ -37,7 +37,8 @@ def replayed(spark, d: str, name: str, query: Callable[[DataFrame], DataFrame],
              slices: int = 3) -> DataFrame:
     """The table that ``query`` over the jittered reports has written after all drops."""
     return runner.replay(shifted_reports(spark, d), name, lambda s, base: runner.run_to_table(
-        query(s.withWatermark("ts", f"{delay_s} seconds")), name, base=base), slices=slices, jitter_us=JITTER_S * 1_000_000)
+        query(s.withWatermark("ts", f"{delay_s} seconds")), name, base=base), slices=slices, jitter_us=JITTER_S * 1_000_000,
+        conf=runner.STATE_CONF)
 
 
 @register("str_6_stop_detector_stream", lrb.SQL_STOPS)

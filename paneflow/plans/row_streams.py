@@ -19,7 +19,7 @@ JITTER_H = 6
 
 def _replayed(df, name, query):
     return runner.replay(df, name, lambda s, base: runner.run_to_table(query(s.withWatermark("ts", f"{JITTER_H} hours")), name, base=base),
-                         jitter_us=JITTER_H * params.HOUR_US)
+                         jitter_us=JITTER_H * params.HOUR_US, conf=runner.STATE_CONF)
 
 
 @register("win_3_row_windows_per_key", f"""

@@ -109,16 +109,22 @@ def _strings(a: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(flat[at <= lengths[:, None]]))
 
 
-def decode_records(raw: bytes, part: np.dtype) -> dict[str, pa.Array]:
+def decode_records(raw: bytes, part: np.dtype) -> dict[str, object]:
     """The fields of whole records as columns (bytes after the last whole record are left out)."""
     arr = np.frombuffer(raw, dtype=part, count=len(raw) // part.itemsize)
-    cols: dict[str, pa.Array] = {}
+    cols: dict[str, object] = {}
     for n in part.names:
         a = arr[n]
-        cols[n] = _strings(a) if a.dtype.kind == "S" else pa.array(a.astype("float64" if a.dtype.kind == "f" else "int64"))
+        cols[n] = _strings(a) if a.dtype.kind == "S" else a.astype("float64" if a.dtype.kind == "f" else "int64")
     return cols
 
 
+def _batch(cols: dict[str, object]) -> pa.RecordBatch:
+    """The columns as a batch; a float that is no number is a null one."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in cols.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(cols))
+
+
 def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = ">",
                      fields: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC-2 / SRC-4 / SRC-7 / SRC-8 batch reader; ``fields`` decodes only those
@@ -133,7 +139,7 @@ def read_fixed_width(spark: SparkSession, path: str, layout, byte_order: str = "
         for batch in batches:
             for r in batch.select(["path", "start", "size"]).to_pylist():
                 for raw in _pieces(r["path"], r["start"], r["size"], piece):
-                    yield pa.RecordBatch.from_pydict(decode_records(raw, part))
+                    yield _batch(decode_records(raw, part))
 
     return byte_ranges(spark, path, dt.itemsize, range_bytes).mapInArrow(decode, _schema(layout, keep))
 

@@ -33,3 +33,11 @@ def test_a_range_is_decoded_in_pieces(spark, tmp_path, monkeypatch):
     assert sizes == [100] * 10 + [50]
     back = FS.read_fixed_width(spark, out, FS.PING_LAYOUT, "<")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_missing_float_comes_back_as_null(spark, tmp_path):
+    layout = [("name", "S4"), ("x", "f8")]
+    df = spark.createDataFrame([("a", 1.5), ("b", None)], "name string, x double")
+    FS.write_fixed_width(df.coalesce(1), str(tmp_path / "bin"), layout, "<")
+    back = FS.read_fixed_width(spark, str(tmp_path / "bin"), layout, "<").collect()
+    assert sorted(map(tuple, back)) == [("a", 1.5), ("b", None)]
