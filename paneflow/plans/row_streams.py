@@ -55,6 +55,7 @@ SELECT a.user_id, b.event_id, a.event_id
 FROM o a JOIN o b ON a.user_id = b.user_id AND a.side = 0 AND b.side = 1 AND b.j >= a.lo AND b.j < a.other WHERE b.value < a.value""")
 def jn_2_stream(spark, d):
     """Views and purchases of a user: each meets the last rows of the other side before it."""
-    ev = load(spark, d, "events").where(F.col("event_type").isin("view", "purchase"))
+    # rows without a user meet nothing; in the operator they would share a pandas column with numbers and turn those to floats
+    ev = load(spark, d, "events").where(F.col("event_type").isin("view", "purchase") & F.col("user_id").isNotNull())
     rows = ev.select("user_id", "event_id", "ts", "value", F.when(F.col("event_type") == "view", 1).otherwise(0).alias("side"))
     return _replayed(rows, "row_join", lambda s: P.row_join_stream(s, "user_id", "side", "event_id", "value", ROW_WINDOW))
